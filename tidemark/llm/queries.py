@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, linededup, simhash
+from tidemark.llm import decontaminate, linededup, packing, simhash
 from tidemark.llm.common import table
 
 
@@ -41,6 +41,16 @@ FROM words LEFT JOIN hits ON hits.doc_id = id LEFT JOIN listed ON listed.doc_id
 """
 
 
+def bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), bpe_path())
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -66,6 +76,7 @@ FROM marked GROUP BY doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op4_packing": op4_packing,
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
 }
