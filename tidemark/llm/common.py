@@ -146,3 +146,51 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         np.cumsum(BYTE_VALUE[data] * _powers("odd", _ODD, n), out=total[1:])
         value = (total[ends] - total[starts]) * _powers("inverse", _ODD_INVERSE, n + 1)[starts]
         return mixed(value + (ends - starts).astype(np.uint64))
+
+
+def gram_buckets(data: np.ndarray, order: int, bits: int) -> np.ndarray:
+    """A bucket of ``bits`` bits for the ``order`` bytes from each place of ``data`` on; as
+    many as there are such places. Orders up to 7."""
+    n = len(data) - order + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64)
+    key = np.full(n, order, dtype=np.uint64)
+    for k in range(order):
+        key = (key << np.uint64(8)) | data[k : k + n]
+    with np.errstate(over="ignore"):
+        key *= _ODD
+    return (key >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def gram_rows(offsets: np.ndarray, order: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and end place of every row's grams; none where the row is shorter."""
+    first = np.minimum(offsets[:-1], max(n, 0))
+    return first, np.maximum(first, np.minimum(offsets[1:] - order + 1, max(n, 0)))
+
+
+def row_sums(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sums of ``values[first:end]`` for every row, in float64 (values: n, or n by k)."""
+    total = np.zeros((len(values) + 1, *values.shape[1:]))
+    np.cumsum(values, axis=0, out=total[1:])
+    return total[end] - total[first]
+
+
+def remainder(column: str, modulus: int):
+    """crc32 of the column as text, modulo ``modulus``; null for null."""
+    return (F.crc32(F.col(column).cast("string").cast("binary")) % modulus).cast("int")
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: dict, max_chars: int) -> list[tuple]:
+    """(doc_id, label, text) of a bounded sample, in order: of each label value the
+    ``per_class`` documents whose hashed doc_id is smallest, texts over ``max_chars`` left
+    out. Labels first, so that only the sample's texts are moved."""
+    spark = docs.sparkSession
+    known = labels.select("doc_id", F.col(label).alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("order", F.xxhash64("doc_id"))
+    chosen = [tuple(r)[:2] for value, n in per_class.items() for r in known.where(F.col("label") == value).orderBy("order", "doc_id").limit(n).collect()]
+    if not chosen:
+        return []
+    few = spark.createDataFrame(chosen, known.select("doc_id", "label").schema)
+    found = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(few), "doc_id")
+    rows = found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).toArrow().to_pylist()
+    return sorted((r["doc_id"], r["label"], r["text"]) for r in rows)
