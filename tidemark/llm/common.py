@@ -194,3 +194,25 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: di
     found = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(few), "doc_id")
     rows = found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).toArrow().to_pylist()
     return sorted((r["doc_id"], r["label"], r["text"]) for r in rows)
+
+
+def without_copies(sample: list[tuple], size: int = 16) -> list[tuple]:
+    """The (label, text) pairs of a bounded sample without copies and near copies of an
+    earlier one: at least half of a text's ``size`` smallest word-trigram hashes were seen."""
+    seen: set[int] = set()
+    kept = []
+    for label, text in sample:
+        words = words_hashed(text)
+        grams = words if len(words) < 3 else mixed(mixed(mixed(words[:-2]) + words[1:-1]) + words[2:])
+        sketch = np.unique(grams)[:size].tolist()
+        if sketch and 2 * sum(x in seen for x in sketch) >= len(sketch):
+            continue
+        seen.update(sketch)
+        kept.append((label, text))
+    return kept
+
+
+def words_hashed(text: str) -> np.ndarray:
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    starts, ends = runs(~SPACE_BYTE[data], np.array([0, len(data)]))
+    return span_hashes(data, starts, ends)

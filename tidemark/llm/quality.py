@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE_BYTE, gram_buckets, gram_rows, labelled_texts, passes, row_sums, runs, span_hashes, text_bytes
+from tidemark.llm.common import SPACE_BYTE, gram_buckets, gram_rows, labelled_texts, passes, row_sums, runs, span_hashes, text_bytes, without_copies
 
 BITS, ORDERS, DIM, EPOCHS, RATE = 18, (3, 5), 8, 12, 8.0
 
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, per_class: dict =
     usable = labels.where(learn)
     sample = labelled_texts(docs, usable, "quality", per_class, max_chars)
     share = usable.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
-    return train([(y, t) for _, y, t in sample], prior=None if share is None else float(np.clip(share, 0.01, 0.99)))
+    return train(without_copies([(y, t) for _, y, t in sample]), prior=None if share is None else float(np.clip(share, 0.01, 0.99)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -26,13 +26,13 @@ import zstandard as zs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER_BYTE, SPACE_BYTE, labelled_texts, passes, text_bytes
+from tidemark.llm.common import LOWER_BYTE, SPACE_BYTE, labelled_texts, passes, text_bytes, without_copies
 
 #: Bytes of a window, of the ordinary base and of the toxic words; compression level.
-WINDOW, BASE, WORDS, LEVEL = 48, 65_536, 16_384, 9
+WINDOW, BASE, WORDS, LEVEL = 128, 65_536, 16_384, 9
 
 #: Least likelihood ratio and lift of a toxic word; share of documents for one fold.
-RATIO, LIFT, FOLDS = 15.0, 5.0, 3
+RATIO, LIFT, FOLDS = 15.0, 10.0, 3
 
 #: Documents of each label value, and characters of one, that training may use.
 PER_CLASS, MAX_CHARS = {0: 5000, 1: 3000}, 40_000
@@ -64,6 +64,11 @@ def windows(texts: pa.Array, size: int = WINDOW) -> tuple[bytes, np.ndarray, np.
     keep = start < first[row + 1]
     keep[1:] &= (start[1:] != start[:-1]) | (row[1:] != row[:-1])
     start, row = start[keep], row[keep]
+    if len(start):  # a short rest belongs to the window before it
+        short = np.append(row[1:] != row[:-1], True) & (first[row + 1] - start < size // 2)
+        short[0] = False
+        short[1:] &= row[1:] == row[:-1]
+        start, row = start[~short], row[~short]
     end = np.empty_like(start)
     if len(start):
         end[:-1] = start[1:]
@@ -186,7 +191,7 @@ def train(sample: list[tuple[int, str]], *, folds: int = FOLDS, threshold: float
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, per_class: dict = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
     """A model from the labels whose row satisfies ``learn``."""
     sample = labelled_texts(docs, labels.where(learn), "toxic", per_class, max_chars)
-    return train([(y, t) for _, y, t in sample])
+    return train(without_copies([(y, t) for _, y, t in sample]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
