@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language, linededup, packing, quality, simhash, toxicity
+from tidemark.llm import decontaminate, language, linededup, packing, quality, sharding, simhash, toxicity
 from tidemark.llm.common import remainder, table
 
 
@@ -60,6 +60,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), bpe_path())
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assigned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs, remainder("doc_id", 4) != 2)
@@ -102,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
+    "op5_sharding": op5_sharding,
     "op7_language": op7_language,
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
