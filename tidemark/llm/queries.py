@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language, linededup, packing, quality, sharding, simhash, toxicity
+from tidemark.llm import decontaminate, language, linededup, media, packing, preference, quality, sharding, simhash, toxicity
 from tidemark.llm.common import remainder, table
 
 
@@ -42,6 +42,10 @@ FROM words LEFT JOIN hits ON hits.doc_id = id LEFT JOIN listed ON listed.doc_id
 """
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(table(spark, sf_dir, "documents"), keep=False)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
@@ -64,6 +68,39 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assigned(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.digest(preference.format_pairs(preference.reply_pairs(table(spark, sf_dir, "conversations"))))
+
+
+OP6_SQL = """
+WITH turns AS (
+  SELECT conv_id, list(struct_pack(role := coalesce(role, 'unknown'), text := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), placed AS (
+  SELECT conv_id, t, coalesce(list_max(list_filter(range(1, len(t) + 1), lambda i: t[i].role = 'assistant')), 0) AS last FROM turns
+), pairs AS (
+  SELECT a.conv_id AS pair_id,
+    CASE WHEN a.last > 0 THEN a.t[1 : a.last] ELSE a.t END AS c,
+    list_concat(CASE WHEN a.last > 0 THEN a.t[1 : a.last - 1] ELSE a.t END, CASE WHEN b.last > 0 THEN b.t[b.last : b.last] ELSE [] END) AS r
+  FROM placed a LEFT JOIN placed b ON b.conv_id = xor(a.conv_id, 1)
+), split AS (
+  SELECT pair_id, c, r, coalesce(list_min(list_filter(range(1, greatest(len(c), len(r)) + 1), lambda i: c[i].role IS DISTINCT FROM r[i].role OR c[i].text IS DISTINCT FROM r[i].text)) - 1, len(c)) AS k FROM pairs
+), parts AS (
+  SELECT pair_id, k,
+    list_transform(c[1 : k], lambda x: '<|im_start|>' || replace(x.role, '<|', '< |') || chr(10) || replace(x.text, '<|', '< |') || '<|im_end|>' || chr(10)) AS p,
+    list_transform(c[k + 1 :], lambda x: struct_pack(role := x.role, head := '<|im_start|>' || replace(x.role, '<|', '< |') || chr(10), body := replace(x.text, '<|', '< |') || '<|im_end|>' || chr(10))) AS c,
+    list_transform(r[k + 1 :], lambda x: struct_pack(role := x.role, head := '<|im_start|>' || replace(x.role, '<|', '< |') || chr(10), body := replace(x.text, '<|', '< |') || '<|im_end|>' || chr(10))) AS r
+  FROM split
+)
+SELECT pair_id, CAST(k AS BIGINT) AS prompt_turns, sha256(coalesce(array_to_string(p, ''), '')) AS prompt_sha256,
+  sha256(coalesce(array_to_string(list_transform(c, lambda x: x.head || x.body), ''), '')) AS chosen_sha256,
+  sha256(coalesce(array_to_string(list_transform(r, lambda x: x.head || x.body), ''), '')) AS rejected_sha256,
+  coalesce(array_to_string(list_transform(c, lambda x: '0:' || length(x.head) || ',' || CASE WHEN x.role = 'assistant' THEN '1:' ELSE '0:' END || length(x.body)), ','), '') AS chosen_mask,
+  coalesce(array_to_string(list_transform(r, lambda x: '0:' || length(x.head) || ',' || CASE WHEN x.role = 'assistant' THEN '1:' ELSE '0:' END || length(x.body)), ','), '') AS rejected_mask
+FROM parts
+"""
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs, remainder("doc_id", 4) != 2)
@@ -104,13 +141,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_media": op2_media,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
     "op5_sharding": op5_sharding,
+    "op6_preference": op6_preference,
     "op7_language": op7_language,
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
-SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op9_line_dedup": OP9_SQL}
+SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op6_preference": OP6_SQL, "op9_line_dedup": OP9_SQL}
