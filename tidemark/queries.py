@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import round_columns
-from tidemark.operators import analytics, candidates as C
+from tidemark.operators import analytics, candidates as C, ranking as R
 from tidemark.sources import driver_tables as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +173,132 @@ def temporal_split(spark: SparkSession, folder: str) -> DataFrame:
     return both.groupBy("part").agg(
         F.count("*").alias("candidates"), F.count_distinct("impression_id").alias("impressions"), F.min("impression_time").cast("string").alias("first_time"), F.max("impression_time").cast("string").alias("last_time")
     )
+
+
+SPLIT = (
+    D.with_tables("articles", "candidates", "history")
+    + """, times AS (SELECT impression_time, row_number() OVER (ORDER BY impression_time DESC) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT impression_time FROM candidates)),
+cut AS (SELECT impression_time AS t FROM times WHERE r = least(n - 1, greatest(1, CAST(ceil(n * 0.2::DOUBLE) AS BIGINT)))),
+train AS (SELECT c.* FROM candidates c, cut WHERE impression_time < t),
+valid AS (SELECT c.* FROM candidates c, cut WHERE impression_time >= t),
+overall AS (SELECT avg(label)::DOUBLE AS p FROM train),
+rates AS (SELECT article_id, (sum(label)::DOUBLE + 20.0::DOUBLE * p) / (count(*)::DOUBLE + 20.0::DOUBLE) AS rate FROM train, overall GROUP BY article_id, p),
+scored AS (
+  SELECT 'position' AS model, *, -candidate_position::DOUBLE AS score FROM valid
+  UNION ALL BY NAME SELECT 'popularity' AS model, v.*, round(coalesce(rate, p), 9) AS score FROM valid v LEFT JOIN rates USING (article_id), overall
+)"""
+)
+
+
+def scored_models(spark: SparkSession, folder: str) -> DataFrame:
+    """The validation rows scored by both baselines. Scores are rounded, so that engines that
+    add in another order rank alike."""
+    train, valid = C.temporal_split(D.candidates(spark, folder), valid_fraction=0.2)
+    found = [R.predict_baseline(R.fit_baseline(kind, train), valid).withColumn("model", F.lit(kind)) for kind in ("position", "popularity")]
+    return found[0].unionByName(found[1]).withColumn("score", F.round("score", 9))
+
+
+@query(SPLIT + """SELECT article_id, round(rate, 6) AS rate FROM rates""")
+def popularity_rates(spark: SparkSession, folder: str) -> DataFrame:
+    train, _ = C.temporal_split(D.candidates(spark, folder), valid_fraction=0.2)
+    return R.fit_baseline("popularity", train).rates
+
+
+@query(
+    SPLIT
+    + """SELECT impression_id, article_id, round(score, 6) AS score, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY impression_id ORDER BY score DESC, candidate_position) AS INTEGER) AS rank FROM scored WHERE model = 'popularity'
+) WHERE rank <= 3"""
+)
+def top_k_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    return R.rank_candidates(scored_models(spark, folder).where("model = 'popularity'"), top_k=3).select("impression_id", "article_id", "score", "rank")
+
+
+PER_IMPRESSION = (
+    SPLIT
+    + """, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY model, impression_id ORDER BY score DESC, candidate_position) AS rn,
+    row_number() OVER (PARTITION BY model, impression_id ORDER BY label DESC) AS ideal_rn,
+    rank() OVER (PARTITION BY model, impression_id ORDER BY score) + (count(*) OVER (PARTITION BY model, impression_id, score) - 1) / 2.0::DOUBLE AS mid
+  FROM scored
+), per AS (
+  SELECT model, impression_id, count(*) AS n, sum(label)::BIGINT AS clicks,
+    CASE WHEN sum(label) > 0 AND sum(label) < count(*) THEN (sum(CASE WHEN label = 1 THEN mid END) - sum(label) * (sum(label) + 1) / 2.0::DOUBLE) / (sum(label) * (count(*) - sum(label)))::DOUBLE END AS auc,
+    coalesce(1.0::DOUBLE / min(CASE WHEN label = 1 THEN rn END), 0) AS rr,
+    coalesce(sum(CASE WHEN label = 1 AND rn <= 5 THEN 1.0::DOUBLE / log2(rn + 1) ELSE 0 END) / nullif(sum(CASE WHEN label = 1 AND ideal_rn <= 5 THEN 1.0::DOUBLE / log2(ideal_rn + 1) ELSE 0 END), 0), 0) AS "ndcg@5",
+    coalesce(sum(CASE WHEN label = 1 AND rn <= 10 THEN 1.0::DOUBLE / log2(rn + 1) ELSE 0 END) / nullif(sum(CASE WHEN label = 1 AND ideal_rn <= 10 THEN 1.0::DOUBLE / log2(ideal_rn + 1) ELSE 0 END), 0), 0) AS "ndcg@10"
+  FROM ranked GROUP BY model, impression_id
+)"""
+)
+
+
+@query(PER_IMPRESSION + """SELECT model, impression_id, n, clicks, round(auc, 6) AS auc, round(rr, 6) AS rr, round("ndcg@5", 6) AS "ndcg@5", round("ndcg@10", 6) AS "ndcg@10" FROM per""")
+def per_impression_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    return R.per_impression(scored_models(spark, folder))
+
+
+@query(
+    PER_IMPRESSION
+    + """SELECT model, round(avg(auc), 6) AS group_auc, round(avg(rr), 6) AS mrr, round(avg("ndcg@5"), 6) AS "ndcg@5", round(avg("ndcg@10"), 6) AS "ndcg@10",
+  count(*) AS "groups", count(auc) AS auc_groups, count(*) - count(auc) AS skipped_auc_groups FROM per GROUP BY model"""
+)
+def leaderboard(spark: SparkSession, folder: str) -> DataFrame:
+    return R.leaderboard(R.ranking_metrics(scored_models(spark, folder)))
+
+
+@query(
+    PER_IMPRESSION
+    + """, lengths AS (SELECT user_id, max(len(article_id_fixed)) AS history_length FROM history GROUP BY user_id),
+facts AS (
+  SELECT impression_id, any_value(device_type) AS device_type, any_value(candidate_count) AS cc, coalesce(any_value(history_length), 0) AS hl
+  FROM valid LEFT JOIN lengths USING (user_id) GROUP BY impression_id
+), cells AS (
+  SELECT 'device_type' AS segment, coalesce(device_type, '<missing>') AS value, impression_id FROM facts
+  UNION ALL SELECT 'candidate_count', CASE WHEN cc <= 5 THEN 'small' WHEN cc <= 10 THEN 'medium' ELSE 'large' END, impression_id FROM facts
+  UNION ALL SELECT 'history_length', CASE WHEN hl <= 0 THEN 'cold' WHEN hl <= 5 THEN 'short' ELSE 'long' END, impression_id FROM facts
+)
+SELECT segment, value, count(*) AS impressions, sum(n)::BIGINT AS candidates, count(*) < 5 AS low_support,
+  round(avg(auc), 6) AS group_auc, round(avg(rr), 6) AS mrr, round(avg("ndcg@5"), 6) AS "ndcg@5", round(avg("ndcg@10"), 6) AS "ndcg@10"
+FROM cells JOIN per USING (impression_id) WHERE model = 'popularity' GROUP BY 1, 2"""
+)
+def segment_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    lengths = D.history(spark, folder).groupBy("user_id").agg(F.max(F.size("article_id_fixed")).alias("history_length"))
+    rows = scored_models(spark, folder).where("model = 'popularity'").drop("model").join(lengths, "user_id", "left")
+    return R.segment_ranking_metrics(rows.withColumn("history_length", F.coalesce("history_length", F.lit(0))))
+
+
+@query(
+    ROWS
+    + """, cells AS (
+  SELECT 'candidate_position' AS diagnostic, CAST(candidate_position AS VARCHAR) AS bucket, label FROM rows
+  UNION ALL SELECT 'article_freshness', CASE WHEN greatest(article_age_days, 0) < 1 THEN '<24h' WHEN greatest(article_age_days, 0) < 3 THEN '1-3d' WHEN greatest(article_age_days, 0) < 7 THEN '3-7d' ELSE '7d+' END, label FROM rows
+)
+SELECT diagnostic, bucket, count(*) AS candidates, sum(label)::BIGINT AS clicks, round(sum(label)::DOUBLE / count(*), 6) AS click_rate FROM cells GROUP BY 1, 2"""
+)
+def candidate_diagnostics(spark: SparkSession, folder: str) -> DataFrame:
+    rows = analytics_rows(spark, folder)
+    return R.candidate_diagnostics(rows.withColumn("publication_age_hours", F.greatest(F.col("article_age_days") * 24, F.lit(0.0))))
+
+
+_POISSON = " ".join(f"WHEN u < {sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))!r} THEN {k}" for k in range(12))
+
+
+@query(
+    PER_IMPRESSION
+    + f""", draws AS (
+  SELECT *, CASE {_POISSON} ELSE 12 END AS times FROM (
+    SELECT per.*, s AS replicate, CAST('0x' || substr(md5(CAST(impression_id AS VARCHAR) || ':' || CAST(s AS VARCHAR) || ':42'), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS u
+    FROM per, range(0, 20) t(s))
+), replicates AS (
+  SELECT model, replicate, sum(auc * times) / sum(CASE WHEN auc IS NOT NULL THEN times END) AS group_auc, sum(rr * times) / sum(times) AS mrr,
+    sum("ndcg@5" * times) / sum(times) AS n5, sum("ndcg@10" * times) / sum(times) AS n10
+  FROM draws WHERE times > 0 GROUP BY 1, 2
+), long AS (
+  SELECT model, 'group_auc' AS metric, group_auc AS v FROM replicates UNION ALL SELECT model, 'mrr', mrr FROM replicates
+  UNION ALL SELECT model, 'ndcg@5', n5 FROM replicates UNION ALL SELECT model, 'ndcg@10', n10 FROM replicates
+)
+SELECT model, metric, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS lower, round(quantile_cont(v, 0.975), 6) AS upper,
+  count(v) AS valid_samples, CAST(20 AS BIGINT) AS requested_samples FROM long GROUP BY 1, 2"""
+)
+def bootstrap_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    return R.bootstrap_intervals(R.per_impression(scored_models(spark, folder)), samples=20, how="poisson")
