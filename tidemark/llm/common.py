@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 #: Text bytes that one numpy pass looks at. A longer single text is a pass of its own.
 PASS_BYTES = 2 << 20
@@ -59,10 +60,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept on the executors' disks, partition by partition; a lost
+    partition is computed again. For small rows that cost much Python to make."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def lower_ascii(column):
     """A-Z lower-cased, every other character kept. ``lower`` is faster and equal where a
-    text holds only ASCII and lower-case letters."""
-    return F.when(column.rlike(r"[^\x00-\x7F\p{Ll}]"), F.translate(column, UPPER, LOWER)).otherwise(F.lower(column))
+    text is ASCII, or holds only ASCII and lower-case letters."""
+    plain = (F.octet_length(column) == F.length(column)) | ~column.rlike(r"[^\x00-\x7F\p{Ll}]")
+    return F.when(plain, F.lower(column)).otherwise(F.translate(column, UPPER, LOWER))
 
 
 def passes(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,7 @@
 """Best-fit packing of token sequences by large-item matching.
 
-Texts are tokenized once; a row for each piece (length and checksum, no ids) is written as
-a table. A packing depends only on how many pieces there are of each length, at most
+Texts are tokenized once; a row for each piece (length and checksum, no ids) is kept. A
+packing depends only on how many pieces there are of each length, at most
 ``capacity`` numbers however large the corpus, so the plan is made from that histogram:
 pieces above one third of the capacity pair by greedy matching (each, from the largest
 down, with the largest that still fits), at most two to a sequence; smaller pieces, from
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import passes, written
+from tidemark.llm.common import held, passes
 
 CAPACITY, END = 1024, 2
 
@@ -174,14 +174,14 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
 def packed(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece."""
     spark = docs.sparkSession
-    cut = written(pieces(docs, path, capacity=capacity, end=end))
+    cut = held(pieces(docs, path, capacity=capacity, end=end))
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     plan = pack({x: n for x, n in counts.items() if x < capacity}, capacity)
     numbered = cut.withColumn("__row", F.monotonically_increasing_id())
     whole = numbered.where(F.col("length") == capacity).select(*cut.columns, (F.lit(plan.sequences) + F.col("__row")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     groups = spark.createDataFrame([(x, max(1, min(GROUPS, n // GROUP))) for x, n in counts.items()], "length bigint, groups int")  # capacity rows at most
     parts = numbered.where(F.col("length") < capacity).join(F.broadcast(groups), "length")
-    parts = written(parts.select(*cut.columns, "__row", F.pmod(F.xxhash64("__row"), "groups").cast("int").alias("__group")))
+    parts = parts.select(*cut.columns, "__row", F.pmod(F.xxhash64("__row"), "groups").cast("int").alias("__group"))
     sizes = {(r["length"], r["__group"]): r["count"] for r in parts.groupBy("length", "__group").count().collect()}
     before, running = [], {}
     for (length, group), n in sorted(sizes.items()):

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER_BYTE, SPACE_BYTE, passes, runs, text_bytes, written
+from tidemark.llm.common import LOWER_BYTE, SPACE_BYTE, held, passes, runs, text_bytes, written
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 
@@ -248,7 +248,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame, *, radius: int = RADIUS, words: int = SHINGLE, tile: int = TILE) -> DataFrame:
     """(doc_id, fp, root, component_id), a row for every row of ``docs``."""
-    prints = written(fingerprints(docs, words=words))
+    prints = held(fingerprints(docs, words=words))
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     masks = block_masks(nodes.count(), radius)
     roots = components(links(tiled(nodes.select("fp"), masks, radius, tile), radius))
@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, words: int = SHING
 
 def drop_near_duplicates(docs: DataFrame, *, radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:
     """``docs`` with one document of each component, one with the smallest doc_id."""
-    found = written(grouped(docs, radius=radius, words=words))
+    found = held(grouped(docs, radius=radius, words=words))
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     several = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__several")))
     same = F.col("doc_id").eqNullSafe(F.col("__several"))
