@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import round_columns
-from tidemark.operators import analytics, candidates as C, ranking as R
+from tidemark.operators import analytics, candidates as C, causal as K, experiments as X, ranking as R
 from tidemark.sources import driver_tables as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -302,3 +302,198 @@ SELECT model, metric, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6
 )
 def bootstrap_intervals(spark: SparkSession, folder: str) -> DataFrame:
     return R.bootstrap_intervals(R.per_impression(scored_models(spark, folder)), samples=20, how="poisson")
+
+
+#: The experiment over customers: more returns under treatment, price and quantity guarded.
+RCT = X.ExperimentConfig(
+    unit_column="user_id",
+    variant_column="variant",
+    control_label="control",
+    treatment_label="treatment",
+    expected_allocation={"control": 0.5, "treatment": 0.5},
+    primary=X.Metric("click", "binary", "increase"),
+    guardrails=(X.Metric("price", "continuous", "non_decrease", -2000.0), X.Metric("quantity", "continuous", "non_increase", 0.5)),
+    cuped_covariate="balance",
+    pre_treatment_columns=("balance",),
+    segment_columns=("segment",),
+    alpha=0.05,
+    practical_threshold=0.01,
+    minimum_segment_units=200,
+    confirmatory_segments=("segment",),
+)
+
+_ARMS = (
+    D.with_tables("experiment")
+    + """, arms AS (
+  SELECT variant, count(*) AS n, avg(balance) AS x, var_samp(balance) AS vx,
+    avg(click) AS m0, var_samp(click) AS v0, covar_samp(click, balance) AS c0, avg(price) AS m1, var_samp(price) AS v1, avg(quantity) AS m2, var_samp(quantity) AS v2
+  FROM units GROUP BY variant
+), c AS (SELECT * FROM arms WHERE variant = 'control'), t AS (SELECT * FROM arms WHERE variant = 'treatment'),
+effects AS (
+  SELECT 'click' AS metric, c.n AS cn, t.n AS tn, c.m0 AS cm, t.m0 AS tm, c.v0 AS cv, t.v0 AS tv FROM c, t
+  UNION ALL SELECT 'price', c.n, t.n, c.m1, t.m1, c.v1, t.v1 FROM c, t
+  UNION ALL SELECT 'quantity', c.n, t.n, c.m2, t.m2, c.v2, t.v2 FROM c, t
+)"""
+)
+_Z = repr(X.normal_quantile(0.975))
+
+
+def arms(spark: SparkSession, folder: str) -> dict:
+    return {r["arm"]: r for r in X.arm_moments(D.experiment(spark, folder), RCT).collect()}
+
+
+def effects_frame(spark: SparkSession, effects: list[X.Effect]) -> DataFrame:
+    keys = ("metric", "control_units", "treatment_units", "control_mean", "treatment_mean", "effect", "relative_effect", "standard_error", "ci_lower", "ci_upper")
+    kinds = "metric string, control_units bigint, treatment_units bigint, control_mean double, treatment_mean double, effect double, relative_effect double, standard_error double, ci_lower double, ci_upper double"
+    return spark.createDataFrame([tuple(getattr(e, k) for k in keys) for e in effects], kinds)
+
+
+@query(
+    D.with_tables("experiment")
+    + """SELECT round(sum((n - total * 0.5::DOUBLE) ** 2 / (total * 0.5::DOUBLE)), 6) AS statistic, sum(n)::BIGINT AS units
+FROM (SELECT count(*) AS n, sum(count(*)) OVER () AS total FROM units GROUP BY variant)"""
+)
+def sample_ratio(spark: SparkSession, folder: str) -> DataFrame:
+    srm = X.sample_ratio_mismatch({a: r["units"] for a, r in arms(spark, folder).items()}, RCT)
+    return spark.createDataFrame([(srm.statistic, sum(srm.observed_counts.values()))], "statistic double, units bigint")
+
+
+@query(
+    _ARMS
+    + f"""SELECT metric, cn AS control_units, tn AS treatment_units, round(cm, 6) AS control_mean, round(tm, 6) AS treatment_mean, round(tm - cm, 6) AS effect,
+  round((tm - cm) / nullif(cm, 0), 6) AS relative_effect, round(sqrt(cv / cn + tv / tn), 6) AS standard_error,
+  round(tm - cm - {_Z}::DOUBLE * sqrt(cv / cn + tv / tn), 6) AS ci_lower, round(tm - cm + {_Z}::DOUBLE * sqrt(cv / cn + tv / tn), 6) AS ci_upper FROM effects"""
+)
+def itt_effects(spark: SparkSession, folder: str) -> DataFrame:
+    return effects_frame(spark, X.estimate_itt(arms(spark, folder), RCT))
+
+
+@query(
+    D.with_tables("experiment")
+    + f""", fit AS (SELECT covar_samp(click, balance) / var_samp(balance) AS theta, avg(balance) AS x FROM units),
+adjusted AS (SELECT variant, click, click - theta * (balance - x) AS y, theta FROM units, fit),
+arms AS (SELECT variant, count(*) AS n, avg(y) AS m, var_samp(y) AS v, var_samp(click) AS raw, any_value(theta) AS theta FROM adjusted GROUP BY variant),
+c AS (SELECT * FROM arms WHERE variant = 'control'), t AS (SELECT * FROM arms WHERE variant = 'treatment')
+SELECT 'click' AS metric, round(t.m - c.m, 6) AS effect, round(sqrt(c.v / c.n + t.v / t.n), 6) AS standard_error, round(c.theta, 6) AS theta,
+  round(t.m - c.m - {_Z}::DOUBLE * sqrt(c.v / c.n + t.v / t.n), 6) AS ci_lower, round(t.m - c.m + {_Z}::DOUBLE * sqrt(c.v / c.n + t.v / t.n), 6) AS ci_upper,
+  round(sqrt(c.raw / c.n + t.raw / t.n), 6) AS raw_standard_error, round(1 - (c.v / c.n + t.v / t.n) / (c.raw / c.n + t.raw / t.n), 6) AS variance_reduction
+FROM c, t"""
+)
+def cuped_effect(spark: SparkSession, folder: str) -> DataFrame:
+    e = X.estimate_cuped(arms(spark, folder), RCT)
+    row = (e.metric, e.effect, e.standard_error, e.theta, e.ci_lower, e.ci_upper, e.raw_standard_error, e.variance_reduction)
+    return spark.createDataFrame([row], "metric string, effect double, standard_error double, theta double, ci_lower double, ci_upper double, raw_standard_error double, variance_reduction double")
+
+
+@query(
+    D.with_tables("experiment")
+    + """, cells AS (SELECT 'segment' AS segment, segment AS value, variant, count(*) AS n, avg(click) AS m, var_samp(click) AS v FROM units GROUP BY ALL)
+SELECT c.segment, c.value, c.n + t.n AS units, c.n AS control_units, t.n AS treatment_units, c.n + t.n < 200 AS low_support, round(t.m - c.m, 6) AS effect, round(sqrt(c.v / c.n + t.v / t.n), 6) AS standard_error
+FROM cells c JOIN cells t ON c.value = t.value AND c.variant = 'control' AND t.variant = 'treatment'"""
+)
+def segment_effects(spark: SparkSession, folder: str) -> DataFrame:
+    keys = ("segment", "value", "units", "control_units", "treatment_units", "low_support", "effect", "standard_error")
+    rows = [tuple(getattr(e, k) for k in keys) for e in X.estimate_segment_effects(D.experiment(spark, folder), RCT)]
+    return spark.createDataFrame(rows, "segment string, value string, units bigint, control_units bigint, treatment_units bigint, low_support boolean, effect double, standard_error double")
+
+
+@query()
+def segment_inference(spark: SparkSession, folder: str) -> DataFrame:
+    """P-values and Holm's adjustment; neither engine has the normal tail in SQL."""
+    keys = ("segment", "value", "p_value", "multiplicity_alpha", "holm_adjusted_p_value", "significant", "ci_lower", "ci_upper", "interval_method")
+    rows = [tuple(getattr(e, k) for k in keys) for e in X.estimate_segment_effects(D.experiment(spark, folder), RCT)]
+    return spark.createDataFrame(rows, "segment string, value string, p_value double, multiplicity_alpha double, holm_adjusted_p_value double, significant boolean, ci_lower double, ci_upper double, interval_method string")
+
+
+@query(
+    D.with_tables("experiment")
+    + """SELECT variant, count(*) AS units, round(avg(click), 6) AS click_mean, round(avg(price), 6) AS price_mean, round(avg(quantity), 6) AS quantity_mean FROM units GROUP BY variant"""
+)
+def experiment_summary(spark: SparkSession, folder: str) -> DataFrame:
+    found = arms(spark, folder)
+    rows = [(a, found[a]["units"], *(found[a][f"mean_{k}"] for k in range(3))) for a in RCT.arms]
+    return spark.createDataFrame(rows, "variant string, units bigint, click_mean double, price_mean double, quantity_mean double")
+
+
+@query(
+    _ARMS
+    + f""", bounds AS (SELECT *, tm - cm - {_Z}::DOUBLE * sqrt(cv / cn + tv / tn) AS low, tm - cm + {_Z}::DOUBLE * sqrt(cv / cn + tv / tn) AS high FROM effects)
+SELECT metric, CASE WHEN low >= -2000 THEN 'pass' WHEN high < -2000 THEN 'fail' ELSE 'inconclusive' END AS state FROM bounds WHERE metric = 'price'
+UNION ALL SELECT metric, CASE WHEN high <= 0.5 THEN 'pass' WHEN low > 0.5 THEN 'fail' ELSE 'inconclusive' END FROM bounds WHERE metric = 'quantity'"""
+)
+def guardrail_states(spark: SparkSession, folder: str) -> DataFrame:
+    effects = {e.metric: e for e in X.estimate_itt(arms(spark, folder), RCT)}
+    rows = [(m.name, X.guardrail_state(effects[m.name].ci_lower, effects[m.name].ci_upper, m)) for m in RCT.guardrails]
+    return spark.createDataFrame(rows, "metric string, state string")
+
+
+@query()
+def launch_decision(spark: SparkSession, folder: str) -> DataFrame:
+    found = X.make_decision(X.analyze_experiment(D.experiment(spark, folder), RCT), RCT)
+    return spark.createDataFrame([(found.status.value,)], "status string")
+
+
+#: The rollout over nations: quarters as periods, the first quarter of 1999 as the rollout.
+ROLLOUT = K.CausalConfig(
+    "market_id", "relative_week", "treated_market", "policy_active", "candidate_exposures", "clicks", "ctr", "rate",
+    rollout_week=0, reference_week=-1, placebo_week=-8, event_window=(-6, 5), balance_columns=("candidate_exposures", "ctr"), alpha=0.05,
+    practical_threshold=0.002, business_exposure_scale=1_000_000, minimum_markets=4, minimum_treated_markets=2, minimum_control_markets=2,
+    minimum_pre_weeks=2, minimum_post_weeks=2, maximum_missing_market_week_share=0.9,
+)
+
+
+@query(
+    D.with_tables("panel")
+    + """SELECT count(DISTINCT market_id) AS markets, count(*) AS "rows", sum(candidate_exposures)::BIGINT AS total_exposure,
+  count(DISTINCT CASE WHEN treated_market = 1 THEN market_id END) AS treated_markets, count(DISTINCT CASE WHEN relative_week < 0 THEN relative_week END) AS pre_weeks,
+  count(DISTINCT CASE WHEN relative_week >= 0 THEN relative_week END) AS post_weeks, CAST(min(relative_week) AS BIGINT) AS week_min, CAST(max(relative_week) AS BIGINT) AS week_max,
+  round(1 - count(*) / (count(DISTINCT market_id) * (max(relative_week) - min(relative_week) + 1))::DOUBLE, 6) AS missing_market_week_share FROM panel"""
+)
+def panel_integrity(spark: SparkSession, folder: str) -> DataFrame:
+    keys = ("markets", "rows", "total_exposure", "treated_markets", "pre_weeks", "post_weeks", "week_min", "week_max", "missing_market_week_share")
+    found = K.validate_market_panel(D.panel(spark, folder), ROLLOUT)
+    return spark.createDataFrame([tuple(found[k] for k in keys)], ", ".join(f"{k} bigint" for k in keys[:-1]) + ", missing_market_week_share double")
+
+
+@query(
+    D.with_tables("panel")
+    + """, means AS (SELECT market_id, any_value(treated_market) AS g, avg(candidate_exposures) AS b0, avg(ctr) AS b1 FROM panel WHERE relative_week < 0 GROUP BY market_id),
+long AS (SELECT g, 'candidate_exposures' AS metric, b0 AS v FROM means UNION ALL SELECT g, 'ctr', b1 FROM means),
+s AS (SELECT metric, avg(v) FILTER (WHERE g = 1) AS t, avg(v) FILTER (WHERE g = 0) AS c, (var_samp(v) FILTER (WHERE g = 1) + var_samp(v) FILTER (WHERE g = 0)) / 2 AS p,
+  count(*) FILTER (WHERE g = 1) AS tn, count(*) FILTER (WHERE g = 0) AS cn FROM long GROUP BY metric)
+SELECT metric, round(t, 6) AS treated_mean, round(c, 6) AS control_mean, round((t - c) / sqrt(p), 6) AS standardized_mean_difference,
+  round(abs(t - c) / sqrt(p), 6) AS absolute_standardized_mean_difference, tn AS treated_markets, cn AS control_markets FROM s"""
+)
+def preperiod_balance(spark: SparkSession, folder: str) -> DataFrame:
+    return K.preperiod_balance(D.panel(spark, folder), ROLLOUT)
+
+
+@query()
+def did_fixed_effects(spark: SparkSession, folder: str) -> DataFrame:
+    row = K.difference_in_differences(D.panel(spark, folder), ROLLOUT)
+    keys = ("effect", "standard_error", "statistic", "p_value", "ci_lower", "ci_upper")
+    return spark.createDataFrame([(row["term"], *(row[k] for k in keys), row["observations"])], "term string, " + ", ".join(f"{k} double" for k in keys) + ", observations bigint")
+
+
+@query(
+    D.with_tables("panel")
+    + """, cells AS (SELECT treated_market AS g, CASE WHEN relative_week >= 0 THEN 1 ELSE 0 END AS post, sum(clicks)::DOUBLE / sum(candidate_exposures) AS rate FROM panel GROUP BY 1, 2)
+SELECT round(sum(CASE WHEN g = post THEN rate ELSE -rate END), 6) AS effect, count(*) AS cells FROM cells"""
+)
+def did_two_by_two(spark: SparkSession, folder: str) -> DataFrame:
+    """The exposure-weighted difference of differences of the four cells."""
+    cells = D.panel(spark, folder).groupBy("treated_market", (F.col("relative_week") >= 0).cast("int").alias("post")).agg((F.sum("clicks") / F.sum("candidate_exposures")).alias("rate"))
+    return cells.agg(F.sum(F.when(F.col("treated_market") == F.col("post"), F.col("rate")).otherwise(-F.col("rate"))).alias("effect"), F.count("*").alias("cells"))
+
+
+@query()
+def event_study(spark: SparkSession, folder: str) -> DataFrame:
+    rows, _ = K.event_study(D.panel(spark, folder), ROLLOUT)
+    keys = ("effect", "standard_error", "statistic", "p_value", "ci_lower", "ci_upper")
+    return spark.createDataFrame([(r["relative_week"], r["term"], *(r[k] for k in keys)) for r in rows], "relative_week int, term string, " + ", ".join(f"{k} double" for k in keys))
+
+
+@query()
+def placebo_rollout(spark: SparkSession, folder: str) -> DataFrame:
+    row, test = K.placebo(D.panel(spark, folder), ROLLOUT)
+    return spark.createDataFrame([(row["effect"], row["standard_error"], row["ci_lower"], row["ci_upper"], test["passed"])], "effect double, standard_error double, ci_lower double, ci_upper double, passed boolean")
