@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
@@ -24,3 +27,14 @@ def session(name: str = "tidemark", master: str | None = None, **conf: str) -> S
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` as a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names (a
+    temporary one if the setting is missing and the master is local)."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+    return df.checkpoint()
