@@ -22,6 +22,9 @@ from pyspark.storagelevel import StorageLevel
 #: Text bytes that one numpy pass looks at. A longer single text is a pass of its own.
 PASS_BYTES = 2 << 20
 
+#: Bytes of an Arrow batch between Spark and Python, about.
+BATCH_BYTES = 4 << 20
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Byte to byte, A-Z lower-cased.
@@ -61,6 +64,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_batches(df: DataFrame, scan, schema) -> DataFrame:
+    """``mapInArrow`` with Arrow batches bounded in bytes: by default a batch has 10,000 rows
+    whatever their size. The bound is a setting of the session."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(scan, schema)
+
+
 def held(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept on the executors' disks, partition by partition; a lost
     partition is computed again. For small rows that cost much Python to make."""

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import LOWER_BYTE, passes, runs, span_hashes, text_bytes
+from tidemark.llm.common import LOWER_BYTE, map_batches, passes, runs, span_hashes, text_bytes
 
 WINDOW = 10
 
@@ -271,7 +271,7 @@ def _pass(docs: DataFrame, rows: list[tuple], window: int, schema: T.StructType)
                 arrays.append(pa.array(found[name], type=kind))
             yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names, *found])
 
-    return docs.mapInArrow(scan, schema)
+    return map_batches(docs, scan, schema)
 
 
 def _many_blocks(docs: DataFrame, blocks: list[list[tuple]], window: int) -> DataFrame:
@@ -304,7 +304,7 @@ def _many_blocks(docs: DataFrame, blocks: list[list[tuple]], window: int) -> Dat
                 arrays += [pa.array(places, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.list_(pa.int64())), pa.array(counts, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in [*kept, *state]])
 
-        current = current.mapInArrow(scan, T.StructType([*kept, *state]))
+        current = map_batches(current, scan, T.StructType([*kept, *state]))
     return current.select(
         *[F.col(f"`{f.name}`") for f in kept],
         F.col("__n").alias("n_words"),

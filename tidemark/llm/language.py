@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import LOWER_BYTE, gram_buckets, gram_rows, labelled_texts, passes, row_sums, runs, span_hashes, text_bytes
+from tidemark.llm.common import LOWER_BYTE, gram_buckets, gram_rows, labelled_texts, map_batches, passes, row_sums, runs, span_hashes, text_bytes
 
 BITS, ORDERS, EPOCHS, PENALTY = 16, (3,), 20, 1e-4
 
@@ -182,4 +182,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             language, score = sent.value.predict(part.column("text"))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(language, pa.string()), pa.array(score)], names=schema.names)
 
-    return docs.mapInArrow(scan, schema)
+    return map_batches(docs, scan, schema)

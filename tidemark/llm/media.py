@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidemark.llm.common import passes
+from tidemark.llm.common import map_batches, passes
 
 #: Samples in a row of a stored text, and the side of a tile.
 WIDTH, TILE = 64, 16
@@ -195,7 +195,7 @@ def media_tiles(df: DataFrame, column: str = "image", *, side: int = TILE) -> Da
             rows, columns, tiles, hashes = zip(*map(one, part.column(column).to_pylist()))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, pa.int32()), pa.array(columns, pa.int32()), pa.array(tiles, pa.binary()), pa.array(hashes, pa.string())], names=schema.names)
 
-    return df.mapInArrow(scan, schema)
+    return map_batches(df, scan, schema)
 
 
 def payload(text: bytes) -> np.ndarray:
@@ -233,4 +233,4 @@ def text_media(docs: DataFrame, *, keep: bool = True) -> DataFrame:
             found = zip(*(one((x or "").encode()) for x in part.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(found, kinds))], names=schema.names)
 
-    return rows.mapInArrow(scan, schema)
+    return map_batches(rows, scan, schema)

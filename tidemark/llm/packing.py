@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held, passes
+from tidemark.llm.common import held, map_batches, passes
 
 CAPACITY, END = 1024, 2
 
@@ -100,7 +100,7 @@ def pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end: int = E
                 names=schema.names,
             )
 
-    return rows.mapInArrow(scan, schema)
+    return map_batches(rows, scan, schema)
 
 
 @dataclass
@@ -211,4 +211,4 @@ def packed(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end: int = E
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:-2]), pa.array(sequence), pa.array(offset)], names=schema.names)
 
     dealt = parts.repartition("length", "__group").sortWithinPartitions("length", "__group", "__row").select(*schema.names[:-2], "__group")
-    return whole.unionByName(dealt.mapInArrow(place, schema))
+    return whole.unionByName(map_batches(dealt, place, schema))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE_BYTE, gram_buckets, gram_rows, labelled_texts, passes, row_sums, runs, span_hashes, text_bytes, without_copies
+from tidemark.llm.common import SPACE_BYTE, gram_buckets, gram_rows, labelled_texts, map_batches, passes, row_sums, runs, span_hashes, text_bytes, without_copies
 
 BITS, ORDERS, DIM, EPOCHS, RATE = 18, (3, 5), 8, 12, 8.0
 
@@ -129,4 +129,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for part in passes(batches):
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sent.value.scores(part.column("text")))], names=schema.names)
 
-    return docs.mapInArrow(scan, schema)
+    return map_batches(docs, scan, schema)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import map_batches, written
 
 SHARDS = 16
 
@@ -84,7 +84,7 @@ def with_range(rows: DataFrame, bounds: list[int]) -> DataFrame:
             found = np.searchsorted(held, part.column("key").to_numpy(), side="left").astype(np.int32)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], names=schema.names)
 
-    return rows.mapInArrow(scan, schema)
+    return map_batches(rows, scan, schema)
 
 
 @dataclass

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER_BYTE, SPACE_BYTE, held, passes, runs, text_bytes, written
+from tidemark.llm.common import LOWER_BYTE, SPACE_BYTE, held, map_batches, passes, runs, text_bytes, written
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 
@@ -82,7 +82,7 @@ def with_fingerprint(docs: DataFrame, name: str = "fp", *, words: int = SHINGLE,
             prints = [majority(shingle_hashes(whole[a:b], words, seed)) for a, b in zip(offsets, offsets[1:])]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.array(prints, dtype=np.uint64).view(np.int64))], names=schema.names)
 
-    return docs.mapInArrow(scan, schema)
+    return map_batches(docs, scan, schema)
 
 
 def fingerprints(docs: DataFrame, *, words: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -213,7 +213,7 @@ def links(tiles: DataFrame, radius: int) -> DataFrame:
         if held:
             yield from compared(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(scan, "u bigint, v bigint").distinct()
+    return map_batches(dealt, scan, "u bigint, v bigint").distinct()
 
 
 def _edges(table: pa.Table) -> list[int]:

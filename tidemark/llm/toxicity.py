@@ -26,7 +26,7 @@ import zstandard as zs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER_BYTE, SPACE_BYTE, labelled_texts, passes, text_bytes, without_copies
+from tidemark.llm.common import LOWER_BYTE, SPACE_BYTE, labelled_texts, map_batches, passes, text_bytes, without_copies
 
 #: Bytes of a window, of the ordinary base and of the toxic words; compression level.
 WINDOW, BASE, WORDS, LEVEL = 128, 65_536, 16_384, 9
@@ -206,4 +206,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for part in passes(batches):
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.scores(part.column("text"), compressors))], names=schema.names)
 
-    return docs.mapInArrow(scan, schema)
+    return map_batches(docs, scan, schema)

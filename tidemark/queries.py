@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import round_columns
-from tidemark.operators import analytics, candidates as C, causal as K, experiments as X, ranking as R
+from tidemark.operators import analytics, candidates as C, causal as K, experiments as X, features as E, models as M, ranking as R
 from tidemark.sources import driver_tables as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -497,3 +497,53 @@ def event_study(spark: SparkSession, folder: str) -> DataFrame:
 def placebo_rollout(spark: SparkSession, folder: str) -> DataFrame:
     row, test = K.placebo(D.panel(spark, folder), ROLLOUT)
     return spark.createDataFrame([(row["effect"], row["standard_error"], row["ci_lower"], row["ci_upper"], test["passed"])], "effect double, standard_error double, ci_lower double, ci_upper double, passed boolean")
+
+
+def fitted_features(spark: SparkSession, folder: str) -> tuple[E.FeatureBuilder, DataFrame, DataFrame]:
+    train, valid = C.temporal_split(D.candidates(spark, folder), valid_fraction=0.2)
+    return E.FeatureBuilder(n_components=8).fit(D.articles(spark, folder), D.history(spark, folder), train), train, valid
+
+
+_STRUCTURED = [n for g in ("context", "article", "personalization") for n in E.GROUPS[g]]
+
+
+@query(
+    SPLIT
+    + """, cutoff AS (SELECT max(impression_time) AS t FROM train),
+codes AS (SELECT category, row_number() OVER (ORDER BY category) - 1 AS code FROM (SELECT DISTINCT category FROM articles, cutoff WHERE published_time <= t)),
+seen AS (SELECT user_id, unnest(article_id_fixed) AS article_id FROM history),
+known AS (SELECT user_id, category FROM seen JOIN articles USING (article_id)),
+lengths AS (SELECT user_id, count(*)::DOUBLE AS n FROM known GROUP BY user_id),
+liked AS (SELECT user_id, category, count(*)::DOUBLE AS c FROM known GROUP BY ALL),
+base AS (
+  SELECT v.*, a.*, coalesce(code, -1) AS code, coalesce(n, 0) AS n, coalesce(c, 0) AS c,
+    greatest((epoch_us(impression_time) - epoch_us(published_time))::DOUBLE / 3600000000.0::DOUBLE, 0) AS age
+  FROM valid v JOIN articles a USING (article_id) LEFT JOIN codes ON codes.category = a.category
+  LEFT JOIN lengths ON lengths.user_id = v.user_id LEFT JOIN liked ON liked.user_id = v.user_id AND liked.category = a.category
+)
+SELECT impression_id, article_id, round(sin(2 * pi() * hour(impression_time) / 24), 6) + 0.0::DOUBLE AS hour_sin, round(cos(2 * pi() * hour(impression_time) / 24), 6) + 0.0::DOUBLE AS hour_cos,
+  round(sin(2 * pi() * (isodow(impression_time) - 1) / 7), 6) + 0.0::DOUBLE AS weekday_sin, round(cos(2 * pi() * (isodow(impression_time) - 1) / 7), 6) + 0.0::DOUBLE AS weekday_cos,
+  0.0::DOUBLE AS device_type, 0.0::DOUBLE AS is_sso_user, 0.0::DOUBLE AS is_subscriber, candidate_position::DOUBLE AS candidate_position, candidate_count::DOUBLE AS candidate_count,
+  round(age, 6) AS publication_age_hours, round(ln(1 + age), 6) AS freshness_log_hours, length(title)::DOUBLE AS title_length, length(subtitle)::DOUBLE AS subtitle_length,
+  CASE WHEN premium THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS premium, code::DOUBLE AS category_code, 0.0::DOUBLE AS article_type_code, 0.0::DOUBLE AS sentiment_score,
+  n AS history_length, round(CASE WHEN n > 0 THEN c / n ELSE 0 END, 6) AS category_affinity
+FROM base"""
+)
+def structured_features(spark: SparkSession, folder: str) -> DataFrame:
+    builder, _, valid = fitted_features(spark, folder)
+    return builder.transform(valid).select("impression_id", "article_id", *_STRUCTURED)
+
+
+@query()
+def semantic_features(spark: SparkSession, folder: str) -> DataFrame:
+    """The text similarities come from an iterated factorization, which SQL cannot say."""
+    builder, _, valid = fitted_features(spark, folder)
+    return builder.transform(valid).select("impression_id", "article_id", *E.GROUPS["semantic"])
+
+
+@query()
+def logistic_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    """A trained model; tests hold it against published quality."""
+    builder, train, valid = fitted_features(spark, folder)
+    model = M.fit_logistic(builder.transform(train), E.NAMES)
+    return R.ranking_metrics(model.score(builder.transform(valid)))
