@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from tidemark import cli
 from tidemark.errors import ContractError
 from tidemark.functions import stats
-from tidemark.operators import analytics, candidates as C, causal as K, experiments as X, features as E, ranking as R
+from tidemark.operators import analytics, candidates as C, causal as K, experiments as X, features as E, models as M, ranking as R
 from tidemark.plans import reports, workflows
 from tidemark.sources import files, synthetic
 from tidemark.sources.bundle import load_bundle
+from tidemark.streaming.kpis import windowed_kpis
 
 ARTICLES = "article_id bigint, title string, subtitle string, published_time timestamp_ntz, category int, premium boolean"
 BEHAVIORS = "impression_id bigint, user_id bigint, impression_time timestamp_ntz, article_ids_inview array<bigint>, article_ids_clicked array<bigint>, device_type int"
@@ -215,6 +216,17 @@ def test_decisions():
     assert judge(primary_lower=0.001) is X.Decision.CONTINUE_EXPERIMENT
 
 
+def test_lambda_trees_learn_and_reload(spark, tmp_path):
+    rows = [(i, p, int(p == i % 3), float(p == i % 3) + 0.01 * p, float(i)) for i in range(40) for p in range(3)]
+    df = spark.createDataFrame(rows, "impression_id bigint, candidate_position int, label int, useful double, idle double")
+    model = M.fit_lambda_trees(df, ["useful", "idle"], trees=2)
+    assert R.ranking_metrics(model.score(df)).first()["mrr"] == 1.0 and model.importance()[0][0] == "useful"
+    logistic = M.fit_logistic(df, ["useful", "idle"])
+    assert R.ranking_metrics(logistic.score(df)).first()["mrr"] == 1.0
+    with pytest.raises(ValueError, match="both classes"):
+        M.fit_logistic(df.where("label = 1"), ["useful"])
+
+
 # Jobs ---------------------------------------------------------------------------------
 
 
@@ -262,6 +274,16 @@ def test_command_line(spark, data, tmp_path, capsys):
     assert len(run("portfolio", "--analytics", tmp_path / "analytics", "--experiment", tmp_path / "decision", "--output", tmp_path / "both")[1]["files"]) == 15
 
 
+def test_streamed_key_figures_equal_the_batch(spark, data, tmp_path):
+    path = f"{data}/train/behaviors.parquet"
+    behaviors = spark.read.parquet(path)
+    stream = windowed_kpis(spark.readStream.schema(behaviors.schema).parquet(path), window="1 day")
+    query = stream.writeStream.format("memory").queryName("kpis").outputMode("complete").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got, want = (sorted(map(tuple, df.collect())) for df in (spark.table("kpis"), windowed_kpis(behaviors, window="1 day")))
+    assert got == want and sum(r[1] for r in got) == 144 and all(r[4] == pytest.approx(1 / 6) for r in got)
+
+
 def test_failed_jobs_leave_nothing(spark, tmp_path):
     with pytest.raises(RuntimeError), files.published(spark, str(tmp_path / "out"), {"a"}) as staging:
         files.write_text(spark, f"{staging}/b", "b")

@@ -171,7 +171,7 @@ def run_benchmark(spark: SparkSession, data: str, output: str, *, models: list[s
         scores = scores.unionByName(p)
     R.check_scored(scores)
     per = R.per_impression(scores).persist(StorageLevel.MEMORY_AND_DISK)
-    board = [r | facts[r["model"]] for r in _rows(R.leaderboard(per.groupBy("model").agg(*R._averages((5, 10)))))]
+    board = [r | facts[r["model"]] for r in _rows(R.leaderboard(per.groupBy("model").agg(*R.averages((5, 10)))))]
     intervals = _rows(R.bootstrap_intervals(per, samples=bootstrap_samples, seed=seed))
     if "logistic" not in learned:
         learned["logistic"] = M.fit_logistic(train, E.NAMES)
