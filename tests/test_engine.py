@@ -156,13 +156,15 @@ def test_bootstrap_is_paired_and_repeatable(spark):
 # Features -----------------------------------------------------------------------------
 
 
-def test_features_do_not_leak(small):
+def test_features_do_not_leak(small, monkeypatch):
     articles, behaviors, history = small
     rows = C.expand_candidates(behaviors)
     builder = E.FeatureBuilder(2).fit(articles, history, rows)
     got = {(r["impression_id"], r["article_id"]): r for r in builder.transform(rows).collect()}
     assert got[100, 10]["history_length"] == 2 and got[100, 10]["category_affinity"] == 0.5 and got[101, 11]["text_similarity"] == 0
     assert got[100, 10]["publication_age_hours"] == 24.0 and got[100, 10]["subtitle_length"] == 0
+    monkeypatch.setattr(E, "EXACT_MEDIANS", 0)
+    assert E.FeatureBuilder(2).fit(articles, history, rows).medians["candidate_count"] == builder.medians["candidate_count"] == 2
     with pytest.raises(ContractError, match="999"):
         builder.transform(rows.withColumn("article_id", F.lit(999).cast("bigint")))
     with pytest.raises(ValueError):
