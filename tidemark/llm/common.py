@@ -22,6 +22,9 @@ from pyspark.storagelevel import StorageLevel
 #: Text bytes that one numpy pass looks at. A longer single text is a pass of its own.
 PASS_BYTES = 2 << 20
 
+#: Bytes of a slice of a longer text, about. Operators add up what they find in the slices.
+SLICE_BYTES = 1 << 20
+
 #: Bytes of an Arrow batch between Spark and Python, about.
 BATCH_BYTES = 4 << 20
 
@@ -99,7 +102,8 @@ def passes(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
 
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string array, and the offsets of its rows in them. Null: empty."""
-    array = pc.fill_null(array, "").cast(pa.large_string())
+    array = pc.fill_null(array, "")
+    array = array if array.type == pa.large_string() else array.cast(pa.large_string())
     _, offsets, data = array.buffers()
     at = np.frombuffer(offsets, dtype=np.int64)[array.offset : array.offset + len(array) + 1]
     if data is None or at[-1] == at[0]:
@@ -107,6 +111,41 @@ def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """(row of every part, parts): all rows up to ``size`` bytes at once, then every longer
+    row in slices of its own, so that no numpy pass is larger than a slice. A slice ends
+    behind the last white space in it, or at the last whole character where it has none;
+    cuts depend on the row's text alone."""
+    texts = pc.fill_null(texts, "")
+    long = pc.binary_length(texts).to_numpy(zero_copy_only=False) > size
+    if not long.all():
+        short = np.flatnonzero(~long)
+        yield short, texts if not long.any() else texts.take(pa.array(short))
+    for row in np.flatnonzero(long).tolist():
+        data, _ = text_bytes(texts.slice(row, 1))
+        for a, b in cuts(data, size):
+            offsets = np.array([0, b - a], dtype=np.int64)
+            yield np.array([row]), pa.LargeStringArray.from_buffers(1, pa.py_buffer(offsets), pa.py_buffer(data[a:b]))
+
+
+def cuts(data: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Begin and end of the slices of a UTF-8 text."""
+    a = 0
+    while a < len(data):
+        b = min(len(data), a + size)
+        if b < len(data):
+            for reach in (4096, size):  # white space is near the end, as a rule
+                at = np.flatnonzero(SPACE_BYTE[data[max(a, b - reach) : b]])
+                if len(at):
+                    b = max(a, b - reach) + int(at[-1]) + 1
+                    break
+            else:
+                while b > a + 1 and data[b] & 0xC0 == 0x80:
+                    b -= 1
+        yield a, b
+        a = b
+
+
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True in ``inside``; a run ends with its row."""
     n = len(inside)

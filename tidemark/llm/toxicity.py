@@ -1,23 +1,30 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on toxic text, whose
-content is the words that are significantly more frequent in toxic documents (likelihood
-ratio), behind the same ordinary base. A text is cut into short windows at white space and
-every window is compressed with both; the bytes that the toxic dictionary saves are counted
-by size of the saving. A logistic layer, calibrated on savings of documents that had no
-part in the dictionaries they were compressed with, turns the counts into a score, and is
-set so that 0.7 is the threshold that served best there.
+zstandard's trainer makes separate dictionaries from toxic and from ordinary text. A text is
+cut into short windows at white space, every window is compressed with both, and the bytes
+that the toxic dictionary saves are the distance. A toxic document is mostly ordinary prose,
+so the dictionaries are trained in rounds: the first round takes windows of all of a class's
+text, the following ones only the windows on which the toxic dictionary of the *other* half
+of the documents saved most - in toxic documents to learn from, in ordinary ones as counter
+examples. Both are laid before one large dictionary of ordinary text, so that ordinary
+windows compress alike with either. A logistic layer over the counts of windows that save at
+least 1, 2, ... bytes is calibrated on documents that had no part in the dictionaries they
+were compressed with, and set so that 0.7 is the threshold that served best there.
+
+Texts over ``SLICE_BYTES`` are windowed slice by slice (slices end at white space) and the
+counts of the slices are added.
 
 Defined cases: a null or empty text has no window and gets the score of no savings;
 documents without label, or with a null doc_id, are scored and not learned from; of several
-labels for a doc_id the largest counts; without labels of both kinds every score is 0; an
-empty table gives an empty result; other columns are kept, except ``score``.
+labels for a doc_id the largest counts; without labels of both kinds every score is 0; with
+too little text for zstandard's trainer the text itself is the dictionary; equal texts have
+equal scores; an empty table gives an empty result; other columns are kept, except
+``score``.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,13 +33,20 @@ import zstandard as zs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER_BYTE, SPACE_BYTE, labelled_texts, map_batches, passes, text_bytes, without_copies
+from tidemark.llm.common import LOWER_BYTE, SPACE_BYTE, labelled_texts, map_batches, passes, slices, text_bytes, without_copies
 
-#: Bytes of a window, of the ordinary base and of the toxic words; compression level.
-WINDOW, BASE, WORDS, LEVEL = 128, 65_536, 16_384, 9
+#: Bytes of a window that is scored and of one that is learned from; compression level.
+WINDOW, LEARNED, LEVEL = 128, 64, 9
 
-#: Least likelihood ratio and lift of a toxic word; share of documents for one fold.
-RATIO, LIFT, FOLDS = 15.0, 10.0, 3
+#: Bytes of the two separate dictionaries and of the ordinary one behind both.
+OWN, BASE = 8192, 1 << 20
+
+#: The trainer's segment and substring size.
+SEGMENT, SUBSTRING = 32, 8
+
+#: Share of the windows that each round after the first learns from; windows of ordinary
+#: text for each toxic one, half of them for the base; folds of the calibration.
+ROUNDS, ORDINARY, FOLDS = (0.2, 0.08), 4, 2
 
 #: Documents of each label value, and characters of one, that training may use.
 PER_CLASS, MAX_CHARS = {0: 5000, 1: 3000}, 40_000
@@ -42,8 +56,6 @@ THRESHOLD = 0.7
 #: Savings are told apart from -1 (and less) to 12 (and more) bytes.
 _LOW, _HIGH = -1, 12
 
-_EDGE = b".,!?;:\"'()#&%$*|"
-
 
 def windows(texts: pa.Array, size: int = WINDOW) -> tuple[bytes, np.ndarray, np.ndarray]:
     """(bytes, spans, row): lower-cased texts with a space before and behind each, and the
@@ -77,17 +89,28 @@ def windows(texts: pa.Array, size: int = WINDOW) -> tuple[bytes, np.ndarray, np.
     return joined.tobytes(), np.stack([start, end + 1 - start], axis=1).astype("<u8"), row
 
 
+def trained(samples: list[bytes], size: int) -> bytes:
+    """A dictionary of at most ``size`` bytes by zstandard's trainer."""
+    try:
+        return zs.train_dictionary(size, samples, k=SEGMENT, d=SUBSTRING, f=20, accel=1, split_point=1.0).as_bytes()
+    except (zs.ZstdError, ValueError):  # too few samples, or too short ones
+        return b"".join(samples)[:size]
+
+
 @dataclass
 class Pair:
-    """The two dictionaries: the toxic one is ``toxic`` before ``ordinary``."""
+    """The separate dictionaries, and the one of ordinary text that is laid behind both."""
 
     toxic: bytes
     ordinary: bytes
+    base: bytes
 
-    def compressors(self) -> list[zs.ZstdCompressor]:
+    def compressors(self, size: int = WINDOW) -> list[zs.ZstdCompressor]:
+        """The toxic and the ordinary compressor, for windows of about ``size`` bytes. Two
+        dictionaries end to end have no common header, so they are loaded as content."""
         found = []
-        for content in (self.toxic + self.ordinary, self.ordinary):
-            how = zs.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW, dict_size=len(content), write_content_size=0, write_checksum=0, write_dict_id=0)
+        for content in (self.toxic + self.base, self.ordinary + self.base):
+            how = zs.ZstdCompressionParameters.from_level(LEVEL, source_size=size, dict_size=len(content), write_content_size=0, write_checksum=0, write_dict_id=0)
             held = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
             held.precompute_compress(compression_params=how)
             found.append(zs.ZstdCompressor(dict_data=held, compression_params=how))
@@ -97,14 +120,61 @@ class Pair:
         """For every text, how many windows the toxic dictionary saves so many bytes of."""
         kinds = _HIGH - _LOW + 1
         body, spans, row = windows(texts)
-        if not len(spans):
-            return np.zeros((len(texts), kinds))
-        held = zs.BufferWithSegments(body, spans.tobytes())
-        toxic, ordinary = (np.fromiter(map(len, c.multi_compress_to_buffer(held, threads=1)), dtype=np.int64, count=len(spans)) for c in compressors)
-        saved = np.clip(ordinary - toxic, _LOW, _HIGH) - _LOW
+        saved = np.clip(saved_bytes(compressors, body, spans), _LOW, _HIGH) - _LOW
         return np.bincount(row * kinds + saved, minlength=len(texts) * kinds).reshape(len(texts), kinds).astype(float)
 
 
+def saved_bytes(compressors: list[zs.ZstdCompressor], body: bytes, spans: np.ndarray) -> np.ndarray:
+    """Bytes that the first compressor saves against the second, for every window."""
+    if not len(spans):
+        return np.zeros(0, dtype=np.int64)
+    held = zs.BufferWithSegments(body, np.ascontiguousarray(spans).tobytes())
+    toxic, ordinary = (np.fromiter(map(len, c.multi_compress_to_buffer(held, threads=1)), dtype=np.int64, count=len(spans)) for c in compressors)
+    return ordinary - toxic
+
+
+@dataclass
+class Windows:
+    """Windows to learn from; ``half`` parts them by document."""
+
+    body: bytes
+    spans: np.ndarray
+    half: np.ndarray
+
+    @staticmethod
+    def of(texts: list[str]) -> Windows:
+        body, spans, row = windows(pa.array(texts, pa.string()), LEARNED)
+        return Windows(body, spans, row % 2)
+
+    def samples(self, which: np.ndarray) -> list[bytes]:
+        return [self.body[a : a + size] for a, size in self.spans[which].astype(int).tolist()]
+
+    def most_saving(self, pairs: list[list[zs.ZstdCompressor]], among: np.ndarray, share: float) -> np.ndarray:
+        """The ``share`` of the windows ``among`` all that save most (and at least a byte)
+        with the compressors from the other half of the documents."""
+        saved = np.empty(len(among))
+        for half, compressors in enumerate(pairs):
+            other = self.half[among] != half
+            saved[other] = saved_bytes(compressors, self.body, self.spans[among[other]])
+        return among[saved >= max(1.0, np.quantile(saved, 1 - share))] if len(among) else among
+
+
+def dictionaries(toxic: list[str], ordinary: list[str], *, rounds: tuple = ROUNDS, seed: int = 3) -> Pair:
+    """The dictionaries from toxic and ordinary texts."""
+    bad, good = Windows.of(toxic), Windows.of(ordinary)
+    order = np.random.default_rng(seed).permutation(len(good.spans))[: max(1, ORDINARY * len(bad.spans))]
+    pool = np.sort(order[len(order) // 2 :])
+    base = trained(good.samples(order[: len(order) // 2]), BASE)
+    from_bad, from_good = np.arange(len(bad.spans)), pool
+    for share in rounds:
+        pairs = []
+        for half in (0, 1):
+            own = Pair(trained(bad.samples(from_bad[bad.half[from_bad] == half]), OWN), trained(good.samples(from_good[good.half[from_good] == half]), OWN), base)
+            pairs.append(own.compressors(LEARNED))
+        from_bad, from_good = bad.most_saving(pairs, np.arange(len(bad.spans)), share), good.most_saving(pairs, pool, share)
+    return Pair(trained(bad.samples(from_bad), OWN), trained(good.samples(from_good), OWN), base)
+
+
 def _layer_input(savings: np.ndarray) -> np.ndarray:
     n = savings.sum(axis=1, keepdims=True)
     tail = savings[:, ::-1].cumsum(axis=1)[:, ::-1][:, 1 - _LOW :]
@@ -119,33 +189,13 @@ class Model:
     bias: float
 
     def scores(self, texts: pa.Array, compressors: list[zs.ZstdCompressor]) -> np.ndarray:
-        x = _layer_input(self.pair.savings(texts, compressors)) - self.centre
+        counts = np.zeros((len(texts), _HIGH - _LOW + 1))
+        for row, part in slices(texts):
+            np.add.at(counts, row, self.pair.savings(part, compressors))
+        x = _layer_input(counts) - self.centre
         return 1 / (1 + np.exp(-np.clip(x @ self.weight + self.bias, -30, 30)))
 
 
-def dictionaries(toxic: list[str], ordinary: list[str], seed: int = 3) -> Pair:
-    """The two dictionaries from toxic and ordinary texts."""
-
-    def words(text: str) -> set[bytes]:
-        return {w.strip(_EDGE) for w in text.encode().lower().split()} - {b""}
-
-    here, there = Counter(w for t in toxic for w in words(t)), Counter(w for t in ordinary for w in words(t))
-    n, m = len(toxic), len(ordinary)
-    found = []
-    for word, a in here.items():
-        b = there[word]
-        if a >= 3 and a / n > LIFT * (b + 0.5) / m:
-            share = (a + b) / (n + m)
-            ratio = 2 * (a * math.log(a / (share * n)) + (b * math.log(b / (share * m)) if b else 0))
-            if ratio >= RATIO:
-                found.append((ratio, word))
-    chosen = b" " + b" ".join(w for _, w in sorted(found)) + b" " if found else b""
-    body, spans, _ = windows(pa.array(ordinary, pa.string()))
-    order = np.random.default_rng(seed).permutation(len(spans))[: 2 * BASE // WINDOW]
-    base = b"".join(body[a : a + size] for a, size in spans[order].astype(int).tolist())
-    return Pair(chosen[-WORDS:], base[:BASE])
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 3.0) -> tuple[np.ndarray, np.ndarray, float]:
     centre, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = np.hstack([(x - centre) / spread, np.ones((len(x), 1))])
@@ -161,9 +211,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 3.0) -> tuple[np.nd
 def train(sample: list[tuple[int, str]], *, folds: int = FOLDS, threshold: float = THRESHOLD) -> Model:
     """A model from (label, text) pairs in a fixed order."""
     y = np.array([label for label, _ in sample], dtype=float)
-    kinds = 2 * (_HIGH) + 1
+    kinds = 2 * _HIGH + 1
     if not 0 < y.sum() < len(y):
-        return Model(Pair(b"", b""), np.zeros(kinds), np.zeros(kinds), -30.0)
+        return Model(Pair(b"", b"", b""), np.zeros(kinds), np.zeros(kinds), -30.0)
     # Deal each label value over the folds in turn.
     fold = np.empty(len(y), dtype=int)
     for value in (0, 1):
@@ -198,7 +248,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score``, higher where label 1 is likelier; 0.7 is the threshold."""
     docs = docs.drop("score")
     schema = docs.withColumn("score", F.lit(0.0)).schema
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # the dictionaries: about a megabyte
 
     def scan(batches):
         model = sent.value
