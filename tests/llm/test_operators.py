@@ -163,6 +163,10 @@ def test_image_formats(spark):
 
     assert np.load(io.BytesIO(bytes(found[1]["npy"]))).shape == (16, 16, 3) and len(found[1]["dhash"]) == 16
     assert all(found[k]["dhash"] is None and found[k]["npy"] is None for k in (2, 3, 4))
+    hostile = [b"P5 99999999999 99999999999\n255\n", b"P4 9999999999999999999999 3\n", b"P2 2 1 255 1 99999999999999999999999", b"P2 2 1 9 1 10", b"P5 2 1 9\n\x01\x0a",
+               b"P1 100000 100000 1", b"BM" + b"\xff" * 60, b"P6", b"", b"P5 1 1 99999 0", b"P2 2 1 9 -1 3"]
+    bad = media.media_tiles(spark.createDataFrame([(bytearray(x),) for x in hostile], "image binary")).collect()
+    assert len(bad) == len(hostile) and all(r["npy"] is None and r["rows"] is None for r in bad)
     assert media.media_tiles(rows.limit(0)).count() == 0
 
 
@@ -265,8 +269,7 @@ def test_packing(docs, texts, empty, spark):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(bpe_path())
-    exact.encode_special_tokens = True
-    found = packing.packed(docs, bpe_path()).toPandas()
+    found = packing.packed(clash(docs, "piece", "sequence_id", "length"), bpe_path()).toPandas()
     ids = {k if k != 2 else None: np.array(exact.encode(t or "", add_special_tokens=False).ids + [2], dtype="<u4") for k, t in enumerate(texts)}
     groups = found.assign(doc_id=found.doc_id.fillna(-1).astype(int)).groupby("doc_id")
     assert len(groups) == len(texts)
@@ -283,6 +286,26 @@ def test_packing(docs, texts, empty, spark):
     assert packing.packed(empty, bpe_path()).count() == 0
 
 
+def test_tokenizer_equals_the_library(monkeypatch):
+    """Special tokens, long runs and random Unicode have the ids of ``tokenizers``."""
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(bpe_path())
+    monkeypatch.setattr(packing, "LONG_RUN", 50)
+    packing.tokenizer.cache_clear()
+    encode = packing.tokenizer(bpe_path())
+    packing.tokenizer.cache_clear()
+    assert encode("x <|endoftext|>y").tolist() == [87, 220, 50256, 331]
+    r = random.Random(8)
+    kinds = ["a", "Bc", " ", "  ", "\n", "\t", "é", "日", "1", "!", "'s", "<|endoftext|>", "\x00", "\x1c", "\x85", "\u200b", "\u3000", " " * 60, "\n" * 51 + " ", "z" * 300]
+    texts = ["".join(r.choice([*kinds, chr(r.randrange(0x20, 0xD800)), chr(r.randrange(0xE000, 0x110000))]) for _ in range(r.randint(0, 25))) for _ in range(1500)]
+    for text in texts:
+        assert encode(text).tolist() == exact.encode(text, add_special_tokens=False).ids, repr(text)
+    packing.LONG_RUN = 100_000
+    long = "a" + " " * 1_200_000 + "b " + "x" * 200_000
+    assert packing.tokenizer(bpe_path())(long).tolist() == exact.encode(long, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_pack_plan(seed):
     r = random.Random(seed)
@@ -304,13 +327,35 @@ def test_pack_plan(seed):
 
 
 def test_sharding(docs, empty, tmp_path, spark):
-    found = sharding.assigned(docs, shards=4).toPandas()
+    found = sharding.assigned(clash(docs, "shard", "size", "key", "row", "part"), shards=4).toPandas()
+    want = Counter((r["doc_id"], len((r["text"] or "").encode()) + 1, None if r["text"] is None else zlib.crc32(r["text"].encode())) for r in docs.collect())
+    got = Counter((None if np.isnan(d) else int(d), int(n), None if np.isnan(c) else int(c)) for d, n, c in zip(found.doc_id, found["size"], found.text_crc32))
+    assert got == want
     assert len(found) == docs.count() and set(found.law) == {"bytes"} and found.grown_shard.isna().all()
     for _, g in found.groupby("shard"):
         assert sorted(g.slot) == list(range(len(g)))
     assert sharding.assigned(empty).count() == 0
-    sharding.write_shards(docs, str(tmp_path / "shards"), shards=4)
-    assert spark.read.parquet(str(tmp_path / "shards")).count() == docs.count()
+    sharding.write_shards(clash(docs, "shard"), str(tmp_path / "shards"), shards=4)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    rows = lambda d: Counter(map(tuple, d.select(docs.columns).collect()))
+    assert rows(back) == rows(docs) and "extra col" in back.columns and back.select("shard").distinct().count() <= 4
+
+
+@pytest.mark.parametrize("hot", [None, "", "ab"])
+def test_sharding_numbers_hot_short_texts_in_parts(spark, hot, monkeypatch):
+    monkeypatch.setattr(sharding, "UNIT_ROWS", 100)
+    r = random.Random(9)
+    rows = [(k, sentence(r, 40)) for k in range(400)] + [(k, hot) for k in range(400, 1600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    found = sharding.assigned(docs).toPandas()
+    for _, g in found.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    assert found[found.doc_id >= 400].shard.nunique() == 1 and len(found) == 1600
+    kept = sharding.written(sharding.sized(docs))
+    bounds, splits = sharding.splitting(kept, 16)
+    placed = sharding.with_unit(kept, bounds, splits)
+    parts = sharding.numbered(placed, sharding.units_of(placed, splits, 16)).groupBy("range", "piece", "part").count()
+    assert parts.agg({"count": "max"}).first()[0] < 200
 
 
 def test_sharding_is_even_with_a_hot_text(spark):

@@ -4,7 +4,9 @@ Images are decoded row by row inside tasks; a resize reads an integral image onl
 rows and columns that it needs, in strips, so a large image costs no more than a strip of
 it. Tiles are stored as NPY bytes beside a 64-bit difference hash.
 
-Defined cases: a null image, or bytes that are no image of these kinds, has null results; a
+Defined cases: a null image, bytes that are no image of these kinds, and an image whose
+header claims more samples than there are bytes, or whose samples exceed its own maximum,
+have null results; a
 null text is stored like an empty one; equal bytes have equal results; an empty table gives
 an empty result; other columns are kept, except those that have the name of a result column,
 which the result replaces.
@@ -77,9 +79,10 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     numbers, at = _header(data, 2 if bitmap else 3)
     columns, rows = numbers[:2]
     most = 1 if bitmap else numbers[2]
-    if not 0 < most < 65_536 or not rows or not columns:
-        raise ValueError("bad header")
     depth = 3 if colour else 1
+    # A sample takes a bit at least, so a size that the bytes cannot hold stops here.
+    if not 0 < most < 65_536 or not rows or not columns or rows * columns * depth > 8 * len(data):
+        raise ValueError("bad header")
     shape = (rows, columns, 3) if colour else (rows, columns)
     if kind == b"P4":
         line = -(-columns // 8)
@@ -87,12 +90,20 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         return bits[:, :columns]
     if kind in (b"P5", b"P6"):
         sample = np.dtype("u1") if most < 256 else np.dtype(">u2")
-        return np.frombuffer(data, sample, rows * columns * depth, at).reshape(shape).astype(sample.newbyteorder("="))
+        return _checked(np.frombuffer(data, sample, rows * columns * depth, at).reshape(shape).astype(sample.newbyteorder("=")), most)
     body = re.sub(rb"#[^\n\r]*", b" ", data[at - 1 :])
     values = re.findall(rb"[01]", body) if kind == b"P1" else body.split()
     if len(values) < rows * columns * depth:
         raise ValueError("samples are missing")
-    return np.array(values[: rows * columns * depth], dtype=np.int64).reshape(shape).astype(np.uint8 if most < 256 else np.uint16)
+    if any(len(v) > 9 for v in values[: rows * columns * depth]):
+        raise ValueError("a sample is out of range")
+    return _checked(np.array(values[: rows * columns * depth], dtype=np.int64).reshape(shape), most).astype(np.uint8 if most < 256 else np.uint16)
+
+
+def _checked(image: np.ndarray, most: int) -> np.ndarray:
+    if image.min() < 0 or image.max() > most:
+        raise ValueError("a sample is out of range")
+    return image
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
@@ -101,7 +112,7 @@ def decode_bmp(data: bytes) -> np.ndarray:
         raise ValueError("not BMP")
     at, size, columns, rows, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
     used = struct.unpack_from("<I", data, 46)[0]
-    if packed or bits not in (1, 4, 8, 24, 32) or columns <= 0 or not rows:
+    if packed or bits not in (1, 4, 8, 24, 32) or columns <= 0 or not rows or columns * abs(rows) * bits > 8 * len(data):
         raise ValueError("BMP kind not supported")
     line = (columns * bits + 31) // 32 * 4
     body = np.frombuffer(data, np.uint8, abs(rows) * line, at).reshape(abs(rows), line)
@@ -186,7 +197,7 @@ def media_tiles(df: DataFrame, column: str = "image", *, side: int = TILE) -> Da
     def one(data: bytes | None) -> tuple:
         try:
             image = decode(data)
-        except (ValueError, TypeError, struct.error, IndexError):
+        except (ValueError, TypeError, struct.error, IndexError, OverflowError, MemoryError):
             return None, None, None, None
         return image.shape[0], image.shape[1], tile(image, side), difference_hash(image)
 

@@ -26,43 +26,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held, map_batches, passes
+from tidemark.llm.common import map_batches, passes, written
 
 CAPACITY, END = 1024, 2
 
 #: Pieces of one length that are numbered together, about; groups of a length at most.
 GROUP, GROUPS = 2000, 256
 
-#: Texts with words or white space this long go to the slower of two equal encoders.
-LONG_RUN = 20_000
+#: White space runs this long are more than the faster encoder's split pattern can take.
+LONG_RUN = 100_000
+
+#: The characters that a split pattern's white space class holds.
+_WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
-    """A function from text to its ids, for a byte-level BPE file of ``tokenizers``.
+    """A function from text to its ids, for a byte-level BPE file of ``tokenizers``, as that
+    library gives them with ``add_special_tokens=False``: the string of a special token in
+    a text is that token.
 
-    The file's own vocabulary and split pattern run on tiktoken's encoder, which gives the
-    same ids several times faster; texts with extreme runs go to ``tokenizers`` itself.
-    """
+    The file's vocabulary and split pattern run on tiktoken's encoder, several times faster.
+    A white space run is one word of the pattern, without its last character if text
+    follows; very long ones are cut out at these places and encoded by ``tokenizers``."""
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
+    own = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as f:
         stored = json.load(f)
     vocabulary = stored["model"]["vocab"]
     byte_of = {c: b for b, c in _byte_letters().items()}
     ranks = {bytes(byte_of[c] for c in piece): i for piece, i in vocabulary.items() if all(c in byte_of for c in piece)}
-    for special in stored["added_tokens"]:
-        ranks.pop(special["content"].encode(), None)
-    fast = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    special = {x["content"]: x["id"] for x in stored["added_tokens"]}
+    for content in special:
+        ranks.pop(content.encode(), None)
+    fast = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    marks = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else re.compile("(?!)")
+    long_run = re.compile(f"{_WHITE}{{{LONG_RUN},}}")
+
+    def parts(text: str):
+        for piece in marks.split(text):
+            at = 0
+            for run in long_run.finditer(piece):
+                end = run.end() - (run.end() < len(piece))
+                yield fast.encode_to_numpy(piece[at : run.start()], allowed_special="all")
+                yield np.array(own.encode(piece[run.start() : end], add_special_tokens=False).ids, dtype="<u4")
+                at = end
+            yield fast.encode_to_numpy(piece[at:], allowed_special="all")
 
     def encode(text: str) -> np.ndarray:
-        if len(text) >= LONG_RUN and (max(map(len, text.split()), default=0) >= LONG_RUN or re.search(rf"\s{{{LONG_RUN}}}", text)):
-            return np.array(slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        return fast.encode_to_numpy(text, disallowed_special=())
+        if len(text) >= LONG_RUN and long_run.search(text):
+            return np.concatenate(list(parts(text)))
+        return fast.encode_to_numpy(text, allowed_special="all")
 
     return encode
 
@@ -172,9 +189,10 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
 
 
 def packed(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece."""
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece.
+    The pieces are a written table, so that a lost executor cannot number them anew."""
     spark = docs.sparkSession
-    cut = held(pieces(docs, path, capacity=capacity, end=end))
+    cut = written(pieces(docs, path, capacity=capacity, end=end))
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     plan = pack({x: n for x, n in counts.items() if x < capacity}, capacity)
     numbered = cut.withColumn("__row", F.monotonically_increasing_id())

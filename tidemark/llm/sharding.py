@@ -4,16 +4,19 @@ Rows are keyed by a hash of their text, so equal texts lie side by side. A sampl
 proportion to size (a row's chance is its share of all bytes) gives quantile boundaries of
 the keys; the boundaries cut the rows into many ranges, a key that fills several quantiles
 being a range of its own. Exact sizes of all ranges, at most a few thousand numbers, show
-those that are overfull; they are subdivided by a second hash. The pieces of overfull ranges
-go, largest first, to the emptiest shard, and the other ranges fill the shards in key order
-up to an equal share. Rows of a range get their slots from the counts of what is before it.
+those that are overfull; they are subdivided by a second hash of the key, or by row where
+one text alone fills the range. The pieces of overfull ranges go, largest first, to the
+emptiest shard, and the other ranges fill the shards in key order up to an equal share.
+Slots follow from the counts of what is before a piece. A piece of many rows, such as a hot
+short text, is numbered in parts, dealt by row, which change nothing about its shard.
 
 Law ``bytes``: shards hold nearly equal sizes. Equal texts share a shard unless their group
 has more than half a shard's bytes.
 
 Defined cases: a null text has size 1, no checksum, and is a group of its own like an empty
 text; equal rows count each; a null doc_id is placed like any other; an empty table gives
-an empty result.
+an empty result; other columns are not read, and kept by ``write_shards``, but for one named
+``shard``, which the result replaces.
 """
 
 from __future__ import annotations
@@ -32,10 +35,10 @@ from tidemark.llm.common import map_batches, written
 SHARDS = 16
 
 #: Ranges, and sampled keys for each range.
-RANGES, SAMPLES = 1024, 16
+RANGES, SAMPLES = 4096, 8
 
 #: A range is overfull above this share of a shard; copies of one text are parted only above
-#: the second share. Pieces have about so many rows at most.
+#: the second share. Parts have about so many rows.
 OVERFULL, PARTED, UNIT_ROWS = 0.05, 0.5, 1_000_000
 
 LAW = "bytes"
@@ -89,31 +92,28 @@ def with_range(rows: DataFrame, bounds: list[int]) -> DataFrame:
 
 @dataclass
 class Unit:
-    """The rows of a range, or of a piece of an overfull one."""
+    """A range, or a piece of an overfull one: it has one shard. ``parts`` number its rows."""
 
     range: int
     piece: int
     size: int
     rows: int
     heavy: bool
-    whole: bool = False
     shard: int = 0
     first: int = 0
 
+    @property
+    def parts(self) -> int:
+        return max(1, math.ceil(self.rows / UNIT_ROWS))
+
 
 def place(units: list[Unit], shards: int) -> list[Unit]:
     """Gives every unit a shard and its first slot: the pieces of overfull ranges to the
     emptiest shard, largest first, the others in key order up to an equal share."""
     load = [0] * shards
-    together: dict[tuple[int, int], list[Unit]] = {}
-    for u in units:
-        if u.heavy:
-            together.setdefault((u.range, -1 if u.whole else u.piece), []).append(u)
-    for _, own in sorted(together.items(), key=lambda x: (-sum(u.size for u in x[1]), x[0])):
-        k = min(range(shards), key=lambda k: (load[k], k))
-        for u in own:
-            u.shard = k
-            load[k] += u.size
+    for u in sorted((u for u in units if u.heavy), key=lambda u: (-u.size, u.range, u.piece)):
+        u.shard = min(range(shards), key=lambda k: (load[k], k))
+        load[u.shard] += u.size
     light = sorted((u for u in units if not u.heavy), key=lambda u: (u.range, u.piece))
     left, k = sum(u.size for u in light), 0
     for u in light:
@@ -131,42 +131,63 @@ def place(units: list[Unit], shards: int) -> list[Unit]:
 
 @dataclass
 class Split:
-    """How a range is subdivided: into how many pieces, whether it holds one text only (its
-    copies are then dealt by row, else texts are dealt), whether it is overfull, and whether
-    its pieces keep to one shard."""
+    """How an overfull range is subdivided: into how many pieces, and whether its copies of
+    one text are dealt by row (else texts are dealt)."""
 
     pieces: int
-    alone: bool
-    heavy: bool
-    whole: bool
+    by_row: bool
 
 
 def with_unit(rows: DataFrame, bounds: list[int], splits: dict[int, Split]) -> DataFrame:
     """``rows`` (key, row) with ``range`` and ``piece``."""
-    known = rows.sparkSession.createDataFrame([(r, x.pieces, x.alone) for r, x in splits.items()], "range int, pieces int, alone boolean")
+    known = rows.sparkSession.createDataFrame([(r, x.pieces, x.by_row) for r, x in splits.items()], "range int, pieces int, by_row boolean")
     ranged = with_range(rows, bounds).join(F.broadcast(known), "range", "left")  # a row for a range at most
-    split = F.when(F.col("alone"), F.xxhash64("key", "row")).otherwise(F.xxhash64("key", F.lit(5)))
-    return ranged.withColumn("piece", F.coalesce(F.pmod(split, F.col("pieces")), F.lit(0)).cast("int")).drop("pieces", "alone")
+    split = F.when(F.col("by_row"), F.xxhash64("key", "row")).otherwise(F.xxhash64("key", F.lit(5)))
+    return ranged.withColumn("piece", F.coalesce(F.pmod(split, F.col("pieces")), F.lit(0)).cast("int")).drop("pieces", "by_row")
 
 
 def splitting(rows: DataFrame, shards: int) -> tuple[list[int], dict[int, Split]]:
-    """Boundaries, and how the ranges that turn out too large are subdivided."""
+    """Boundaries, and how the overfull ranges are subdivided."""
     total = rows.agg(F.sum("size")).first()[0] or 0
     bounds = splitters(rows, total)
     most, parted = max(1, total * OVERFULL / shards), total * PARTED / shards
     sums = with_range(rows, bounds).groupBy("range").agg(F.sum("size").alias("size"), F.count("*").alias("rows"), (F.min("key") == F.max("key")).alias("alone"))
     splits = {}
-    for r in sums.where((F.col("size") > most) | (F.col("rows") > UNIT_ROWS)).collect():
-        heavy = r["size"] > most
-        pieces = max(math.ceil(r["size"] / most) if heavy else 1, math.ceil(r["rows"] / UNIT_ROWS))
-        splits[r["range"]] = Split(min(pieces, r["rows"]), r["alone"], heavy, r["alone"] and r["size"] <= parted)
+    for r in sums.where(F.col("size") > most).collect():
+        whole = r["alone"] and r["size"] <= parted  # copies that stay together
+        splits[r["range"]] = Split(1 if whole else min(math.ceil(r["size"] / most), r["rows"]), r["alone"])
     return bounds, splits
 
 
 def units_of(placed: DataFrame, splits: dict[int, Split], shards: int) -> list[Unit]:
-    sums = placed.groupBy("range", "piece").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
-    plain = Split(1, False, False, False)
-    return place([Unit(r["range"], r["piece"], r["size"], r["rows"], (s := splits.get(r["range"], plain)).heavy, s.whole) for r in sums], shards)
+    """Every unit with its shard; a piece that no row was dealt to has a shard too."""
+    found = {(r["range"], r["piece"]): (r["size"], r["rows"]) for r in placed.groupBy("range", "piece").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()}
+    for r, split in splits.items():
+        for piece in range(split.pieces):
+            found.setdefault((r, piece), (0, 0))
+    return place([Unit(r, p, size, n, r in splits) for (r, p), (size, n) in found.items()], shards)
+
+
+def numbered(placed: DataFrame, units: list[Unit]) -> DataFrame:
+    """``placed`` (range, piece, row) with ``shard`` and ``slot``."""
+    spark = placed.sparkSession
+    parts = spark.createDataFrame([(u.range, u.piece, u.parts) for u in units], "range int, piece int, parts int")
+    rows = placed.join(F.broadcast(parts), ["range", "piece"])  # a row for each unit: some thousand
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("row", F.lit(7)), F.col("parts")).cast("int")).drop("parts")
+    counts = {(u.range, u.piece, 0): u.rows for u in units if u.parts == 1}
+    if several := [u for u in units if u.parts > 1]:
+        large = spark.createDataFrame([(u.range, u.piece) for u in several], "range int, piece int")
+        counts |= {(r["range"], r["piece"], r["part"]): r["count"] for r in rows.join(F.broadcast(large), ["range", "piece"]).groupBy("range", "piece", "part").count().collect()}
+    where = []
+    for u in units:
+        before = u.first
+        for part in range(u.parts):
+            where.append((u.range, u.piece, part, u.shard, before))
+            before += counts.get((u.range, u.piece, part), 0)
+    at = spark.createDataFrame(where, "range int, piece int, part int, shard int, first bigint")
+    number = F.row_number().over(W.partitionBy("range", "piece", "part").orderBy("row"))
+    joined = rows.withColumn("number", number).join(F.broadcast(at), ["range", "piece", "part"])  # a row for UNIT_ROWS rows
+    return joined.withColumn("slot", (F.col("first") + F.col("number") - 1).cast("bigint"))
 
 
 def assigned(docs: DataFrame, *, shards: int = SHARDS) -> DataFrame:
@@ -174,19 +195,16 @@ def assigned(docs: DataFrame, *, shards: int = SHARDS) -> DataFrame:
     rows = written(sized(docs))
     bounds, splits = splitting(rows, shards)
     placed = with_unit(rows, bounds, splits)
-    units = units_of(placed, splits, shards)
-    where = docs.sparkSession.createDataFrame([(u.range, u.piece, u.shard, u.first) for u in units], "range int, piece int, shard int, first bigint")
-    number = F.row_number().over(W.partitionBy("range", "piece").orderBy("row"))
-    return (
-        placed.withColumn("number", number)
-        .join(F.broadcast(where), ["range", "piece"])  # a row for each unit: a few thousand
-        .select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", (F.col("first") + F.col("number") - 1).cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return numbered(placed, units_of(placed, splits, shards)).select(
+        "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
 
 def write_shards(docs: DataFrame, path: str, *, shards: int = SHARDS) -> None:
     """Writes the documents as Parquet under ``path``, a folder ``shard=k`` for each shard.
-    The units are written as they stand, so the documents are not shuffled."""
+    The shard of a row follows from its text (and, for copies of a parted text, from any
+    number), so the documents are neither numbered twice nor shuffled."""
+    docs = docs.drop("shard")
     rows = written(sized(docs))
     bounds, splits = splitting(rows, shards)
     units = units_of(with_unit(rows, bounds, splits), splits, shards)
