@@ -295,7 +295,7 @@ def test_tokenizer_equals_the_library(monkeypatch):
     packing.tokenizer.cache_clear()
     encode = packing.tokenizer(bpe_path())
     packing.tokenizer.cache_clear()
-    assert encode("x <|endoftext|>y").tolist() == [87, 220, 50256, 331]
+    assert encode("x <|endoftext|> y").tolist() == [87, 220, 50256, 331]
     r = random.Random(8)
     kinds = ["a", "Bc", " ", "  ", "\n", "\t", "é", "日", "1", "!", "'s", "<|endoftext|>", "\x00", "\x1c", "\x85", "\u200b", "\u3000", " " * 60, "\n" * 51 + " ", "z" * 300]
     texts = ["".join(r.choice([*kinds, chr(r.randrange(0x20, 0xD800)), chr(r.randrange(0xE000, 0x110000))]) for _ in range(r.randint(0, 25))) for _ in range(1500)]

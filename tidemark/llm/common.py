@@ -89,14 +89,17 @@ def lower_ascii(column):
 
 
 def passes(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about ``size`` bytes of ``column`` each, at least a row."""
+    """Parts of the batches with about ``size`` bytes of ``column`` each; a row of more than
+    ``SLICE_BYTES`` is a part of its own."""
     for batch in batches:
         if not batch.num_rows:
             continue
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         group = (np.cumsum(lengths) - lengths) // size
-        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
+        alone = lengths > SLICE_BYTES
+        change = (np.diff(group) != 0) | alone[1:] | alone[:-1]
+        edges = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
             yield batch.slice(a, b - a)
 
 
@@ -128,20 +131,27 @@ def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[np.ndarra
             yield np.array([row]), pa.LargeStringArray.from_buffers(1, pa.py_buffer(offsets), pa.py_buffer(data[a:b]))
 
 
-def cuts(data: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
-    """Begin and end of the slices of a UTF-8 text."""
+def cuts(data: np.ndarray, size: int = SLICE_BYTES, stop: np.ndarray = SPACE_BYTE, *, whole: bool = False) -> Iterator[tuple[int, int]]:
+    """Begin and end of the slices of a UTF-8 text, behind the last ``stop`` byte in each.
+    Where a slice has none it ends at the last whole character or, with ``whole``, behind
+    the next stop byte: it then is a single word longer than ``size``."""
     a = 0
     while a < len(data):
         b = min(len(data), a + size)
         if b < len(data):
-            for reach in (4096, size):  # white space is near the end, as a rule
-                at = np.flatnonzero(SPACE_BYTE[data[max(a, b - reach) : b]])
+            for reach in (4096, size):  # the last one is near the end, as a rule
+                at = np.flatnonzero(stop[data[max(a, b - reach) : b]])
                 if len(at):
                     b = max(a, b - reach) + int(at[-1]) + 1
                     break
             else:
-                while b > a + 1 and data[b] & 0xC0 == 0x80:
-                    b -= 1
+                if whole:
+                    while b < len(data) and not len(at := np.flatnonzero(stop[data[b : b + size]])):
+                        b = min(len(data), b + size)
+                    b = min(len(data), b + int(at[0]) + 1) if b < len(data) else b
+                else:
+                    while b > a + 1 and data[b] & 0xC0 == 0x80:
+                        b -= 1
         yield a, b
         a = b
 
