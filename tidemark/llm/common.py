@@ -11,13 +11,14 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 #: Text bytes that one numpy pass looks at. A longer single text is a pass of its own.
 PASS_BYTES = 2 << 20
@@ -28,6 +29,8 @@ SLICE_BYTES = 1 << 20
 #: Bytes of an Arrow batch between Spark and Python, about.
 BATCH_BYTES = 4 << 20
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Byte to byte, A-Z lower-cased.
@@ -69,18 +72,14 @@ def written(df: DataFrame) -> DataFrame:
 
 def map_batches(df: DataFrame, scan, schema) -> DataFrame:
     """``mapInArrow`` with Arrow batches bounded in bytes: by default a batch has 10,000 rows
-    whatever their size. The bound is a setting of the session."""
+    whatever their size. The bound is a setting of the session, which plans take up when they
+    are run, so it stays set; where the session has a bound of its own that one is kept."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     return df.mapInArrow(scan, schema)
 
 
-def held(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept on the executors' disks, partition by partition; a lost
-    partition is computed again. For small rows that cost much Python to make."""
-    return df.persist(StorageLevel.DISK_ONLY)
-
-
 def lower_ascii(column):
     """A-Z lower-cased, every other character kept. ``lower`` is faster and equal where a
     text is ASCII, or holds only ASCII and lower-case letters."""
@@ -249,17 +248,22 @@ def remainder(column: str, modulus: int):
     return (F.crc32(F.col(column).cast("string").cast("binary")) % modulus).cast("int")
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: dict, max_chars: int) -> list[tuple]:
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: dict | int, max_chars: int) -> list[tuple]:
     """(doc_id, label, text) of a bounded sample, in order: of each label value the
     ``per_class`` documents whose hashed doc_id is smallest, texts over ``max_chars`` left
-    out. Labels first, so that only the sample's texts are moved."""
-    spark = docs.sparkSession
+    out. Labels first, so that only the sample's texts are moved; the window keeps no more
+    than the bound of a label before its rows are shuffled."""
+    most = per_class if isinstance(per_class, int) else max(per_class.values())
     known = labels.select("doc_id", F.col(label).alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
-    known = known.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("order", F.xxhash64("doc_id"))
-    chosen = [tuple(r)[:2] for value, n in per_class.items() for r in known.where(F.col("label") == value).orderBy("order", "doc_id").limit(n).collect()]
-    if not chosen:
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    place = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = known.withColumn("place", place).where(F.col("place") <= most)
+    if not isinstance(per_class, int):
+        chosen = chosen.where(reduce(lambda a, b: a | b, [(F.col("label") == value) & (F.col("place") <= n) for value, n in per_class.items()]))
+    chosen = chosen.select("doc_id", "label").toArrow()  # bounded by the parameter
+    if not chosen.num_rows:
         return []
-    few = spark.createDataFrame(chosen, known.select("doc_id", "label").schema)
+    few = docs.sparkSession.createDataFrame(chosen)
     found = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(few), "doc_id")
     rows = found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).toArrow().to_pylist()
     return sorted((r["doc_id"], r["label"], r["text"]) for r in rows)

@@ -3,8 +3,9 @@
 First the family of the language, then, inside the family, one-versus-one linear support
 vector machines between its languages. Features are hashed byte n-grams and words, A-Z
 lower-cased; the machines are trained in numpy by averaged stochastic subgradient steps on
-a bounded sample. All machines fold into one table with a column for each, so scoring is
-one pass over a text.
+a bounded sample. All machines fold into one table with a row for each, so scoring is one
+pass over a text; texts over ``SLICE_BYTES`` are read in slices that end at white space.
+The model grows with the number of languages, none of which is left out.
 
 Defined cases: a null text, or one without a letter (Unicode category L), is ``und`` with
 score 1; a row with a null lang or doc_id is predicted and not learned from; with a single
@@ -24,12 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import LOWER_BYTE, gram_buckets, gram_rows, labelled_texts, map_batches, passes, row_sums, runs, span_hashes, text_bytes
+from tidemark.llm.common import LOWER_BYTE, gram_buckets, gram_rows, labelled_texts, map_batches, passes, row_sums, runs, slices, span_hashes, text_bytes
 
 BITS, ORDERS, EPOCHS, PENALTY = 16, (3,), 20, 1e-4
 
-#: Documents of each language, and characters of one, that training may use; languages.
-PER_LANGUAGE, MAX_CHARS, LANGUAGES = 600, 40_000, 256
+#: Documents of each language, and characters of one, that training may use.
+PER_LANGUAGE, MAX_CHARS = 600, 40_000
 
 UNKNOWN = "und"
 
@@ -71,16 +72,19 @@ def features(texts: pa.Array, bits: int = BITS, orders: tuple[int, ...] = ORDERS
 
 
 def has_letter(texts: pa.Array) -> np.ndarray:
-    data, offsets = text_bytes(texts)
-    found = row_sums(_LETTER[data].astype(np.float32), offsets[:-1], offsets[1:]) > 0
-    for i in np.flatnonzero(~found & (np.diff(offsets) > 0)).tolist():
-        found[i] = any(c.isalpha() for c in texts[i].as_py())
+    found = np.zeros(len(texts), dtype=bool)
+    for row, part in slices(texts):
+        data, offsets = text_bytes(part)
+        here = row_sums(_LETTER[data].astype(np.float32), offsets[:-1], offsets[1:]) > 0
+        for i in np.flatnonzero(~here & ~found[row] & (np.diff(offsets) > 0)).tolist():
+            here[i] = any(c.isalpha() for c in part[i].as_py())
+        found[row] |= here
     return found
 
 
 @dataclass
 class Model:
-    """Languages, families, and the linear machines as columns of ``table`` plus ``bias``:
+    """Languages, families, and the linear machines as rows of ``table`` plus ``bias``:
     one for each family against the others, then one for each pair of languages of a
     family (positive: the first)."""
 
@@ -95,11 +99,13 @@ class Model:
         n = len(texts)
         if not self.languages:
             return [UNKNOWN] * n, np.ones(n)
-        bits = len(self.table).bit_length() - 1
-        total, count = np.zeros((n, self.table.shape[1])), np.zeros(n)
-        for buckets, first, end in features(texts, bits):
-            total += row_sums(self.table[buckets], first, end)
-            count += end - first
+        bits = self.table.shape[1].bit_length() - 1
+        total, count = np.zeros((n, len(self.table))), np.zeros(n)
+        for row, part in slices(texts):
+            for buckets, first, end in features(part, bits):
+                for column, weights in enumerate(self.table):
+                    total[row, column] += row_sums(weights[buckets], first, end)
+                count[row] += end - first
         margin = total / np.maximum(count, 1)[:, None] + self.bias
         sure = 1 / (1 + np.exp(-np.clip(4 * margin, -30, 30)))
         k = len(self.families)
@@ -159,15 +165,14 @@ def train(sample: list[tuple[str, str]], *, bits: int = BITS, epochs: int = EPOC
             own = np.flatnonzero((tongue == a) | (tongue == b))
             columns.append(machine([rows[i] for i in own], np.where(tongue[own] == a, 1, -1), bits, epochs, penalty, len(columns)))
             pairs.append((a, b))
-    table = np.stack([w for w, _ in columns], axis=1).astype(np.float32) if columns else np.zeros((1 << bits, 0), dtype=np.float32)
+    table = np.stack([w for w, _ in columns]).astype(np.float32) if columns else np.zeros((0, 1 << bits), dtype=np.float32)
     return Model(languages, families, pairs, table, np.array([b for _, b in columns]))
 
 
 def fit(docs: DataFrame, learn: Column, *, per_language: int = PER_LANGUAGE, max_chars: int = MAX_CHARS) -> Model:
     """A model from the rows with a lang that satisfy ``learn``."""
     usable = docs.where(learn & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN))
-    known = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    sample = labelled_texts(docs, usable, "lang", dict.fromkeys(known, per_language), max_chars)
+    sample = labelled_texts(docs, usable, "lang", per_language, max_chars)
     return train([(x, t) for _, x, t in sample])
 
 

@@ -1,23 +1,27 @@
 """SimHash near-duplicates by tiled exact comparison.
 
 Fingerprints are computed once (XXH64 of 4-word shingles, bit majority) and copies are
-folded to one row for each different fingerprint. Fingerprints within ``radius`` bits must
-agree on all but ``radius`` of any division into blocks, so rows are dealt to buckets by
-every choice of agreeing blocks; no link can fall between. A bucket is compared exactly, with
-numpy exclusive-or and bit counts, in tiles: a large bucket is cut into tiles by population
-count, tile pairs whose population counts differ by more than ``radius`` are skipped, and
-the other pairs are spread over tasks. A tile pair emits a spanning forest, never all
-links. Components are found by rounds of minimum labels, each round a written table.
+folded to one row for each different fingerprint. All-pairs tiles over the whole table would
+be quadratic, so tiles are formed inside buckets that no link can leave: fingerprints within
+``radius`` bits agree on all but ``radius`` blocks of any division into blocks (pigeonhole),
+and rows are dealt to a bucket for every choice of agreeing blocks. A bucket is compared
+exactly, with numpy exclusive-or and bit counts; one of up to ``tile`` rows is a single
+tile, a larger one is cut into tiles by population count, tile pairs whose population counts
+differ by more than ``radius`` are skipped, and the other pairs are spread over tasks. A
+tile pair emits a spanning forest, strip by strip, never all links. Components are found by
+rounds of minimum labels, each round a written table.
 
 Defined cases: a null or empty text has no words and fingerprint zero, which links like any
-other; fewer than 4 words make one shingle; a null doc_id takes part, but names a component
-only if no other document is in it; rows with equal doc_id are separate documents; an empty
-table gives an empty result; other columns are kept, except ``fingerprint`` and
-``component_id``, which the result replaces.
+other; fewer than 4 words make one shingle; texts over ``SLICE_BYTES`` are hashed in slices,
+with the same result; a null doc_id takes part, but names a component only if no other
+document is in it; rows with equal doc_id are separate documents; an empty table gives an
+empty result; other columns, whatever their names, are not read, and
+``drop_near_duplicates`` keeps them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER_BYTE, SPACE_BYTE, held, map_batches, passes, runs, text_bytes, written
+from tidemark.llm.common import LOWER_BYTE, SLICE_BYTES, SPACE_BYTE, cuts, map_batches, passes, runs, text_bytes, written
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 
@@ -62,13 +66,32 @@ def shingle_hashes(text: bytes, words: int = SHINGLE, seed: int = SEED) -> np.nd
     return out
 
 
-def majority(hashes: np.ndarray) -> int:
-    """The bits that are set in over half of the hashes."""
+def fingerprint(text: np.ndarray, words: int = SHINGLE, seed: int = SEED, size: int = SLICE_BYTES) -> int:
+    """The bits that are set in over half of the hashes of a text's shingles. A slice of a
+    long text begins with the last words of the one before."""
+    count, total = np.zeros(64, dtype=np.int64), 0
+    before: list[bytes] = []  # words that the next shingles begin with
+    for a, b in cuts(text, size, whole=True):
+        part = b" ".join([*before, text[a:b].tobytes()])
+        if b < len(text) or total:
+            own = part.split()  # at ASCII white space, as the words are
+            before = own[max(0, len(own) - words + 1) :]
+            if len(own) < words:
+                if b < len(text) or total:
+                    continue
+        hashes = shingle_hashes(part, words, seed)
+        count += bit_counts(hashes)
+        total += len(hashes)
+    return sum(1 << int(k) for k in np.flatnonzero(2 * count > total))
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
     count = np.zeros(64, dtype=np.int64)
     for a in range(0, len(hashes), _HASH_CHUNK):
         part = np.ascontiguousarray(hashes[a : a + _HASH_CHUNK])
         count += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return sum(1 << int(k) for k in np.flatnonzero(2 * count > len(hashes)))
+    return count
 
 
 def with_fingerprint(docs: DataFrame, name: str = "fp", *, words: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -78,8 +101,7 @@ def with_fingerprint(docs: DataFrame, name: str = "fp", *, words: int = SHINGLE,
     def scan(batches):
         for part in passes(batches):
             data, offsets = text_bytes(part.column("text"))
-            whole = data.tobytes()
-            prints = [majority(shingle_hashes(whole[a:b], words, seed)) for a, b in zip(offsets, offsets[1:])]
+            prints = [fingerprint(data[a:b], words, seed) for a, b in zip(offsets, offsets[1:])]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.array(prints, dtype=np.uint64).view(np.int64))], names=schema.names)
 
     return map_batches(docs, scan, schema)
@@ -140,23 +162,22 @@ def tiled(nodes: DataFrame, masks: list[int], radius: int, tile: int) -> DataFra
     return out.select("mask", "part", F.col("p.low").alias("low"), F.col("p.high").alias("high"), F.col("p.side").alias("side"), "fp")
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) with at most ``radius`` differing bits. Both are sorted by population
-    count; strips whose counts differ by more than ``radius`` are not compared."""
+def near_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) with at most ``radius`` differing bits, strip by strip. Both are sorted
+    by population count; strips whose counts differ by more than ``radius`` are not
+    compared."""
     ones_a, ones_b = np.bitwise_count(a).astype(np.int64), np.bitwise_count(b).astype(np.int64)
-    left, right = [], []
     for s in range(0, len(a), 256):
         e = min(len(a), s + 256)
         low, high = np.searchsorted(ones_b, [ones_a[s] - radius, ones_a[e - 1] + radius + 1])
         i, j = np.nonzero(np.bitwise_count(a[s:e, None] ^ b[None, low:high]) <= radius)
-        left.append(i + s)
-        right.append(j + low)
-    return np.concatenate(left), np.concatenate(right)
+        yield i + s, j + low
 
 
 def forest(values: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every value linked to another, the smallest value it can reach; links by place."""
-    label = values.copy()
+    """For every value linked to a smaller one, the smallest it can reach, as places (value,
+    smallest); links by place, values in order."""
+    label = np.arange(len(values))
     while True:
         low = np.minimum(label[i], label[j])
         before = label.copy()
@@ -164,24 +185,27 @@ def forest(values: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray
         np.minimum.at(label, j, low)
         if (label == before).all():
             break
-    linked = label != values
-    return values[linked], label[linked]
+    linked = np.flatnonzero(label != np.arange(len(values)))
+    return linked, label[linked]
 
 
 def _compare(values: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(np.bitwise_count(values.view(np.uint64)), kind="stable")
     values, side = values[order], side[order]
     bits = values.view(np.uint64)
-    if side.any():
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(a):
-            return values[:0], values[:0]
-        i, j = near_pairs(bits[a], bits[b], radius)
-        i, j = a[i], b[j]
-    else:
-        i, j = near_pairs(bits, bits, radius)
-        i, j = i[i < j], j[i < j]
-    return forest(values, i, j)
+    a = np.flatnonzero(side == 0)
+    b = np.flatnonzero(side == 1) if side.any() else a
+    place = np.argsort(np.argsort(values, kind="stable"), kind="stable")  # in order of the values
+    ordered = np.sort(values)
+    u, v = [], []
+    for i, j in near_pairs(bits[a], bits[b], radius) if len(a) else ():
+        x, y = forest(ordered, place[a[i]], place[b[j]])  # a forest of the strip's links
+        u.append(x)
+        v.append(y)
+    if not u:
+        return values[:0], values[:0]
+    x, y = forest(ordered, np.concatenate(u), np.concatenate(v))
+    return ordered[x], ordered[y]
 
 
 def links(tiles: DataFrame, radius: int) -> DataFrame:
@@ -248,7 +272,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame, *, radius: int = RADIUS, words: int = SHINGLE, tile: int = TILE) -> DataFrame:
     """(doc_id, fp, root, component_id), a row for every row of ``docs``."""
-    prints = held(fingerprints(docs, words=words))
+    prints = written(fingerprints(docs, words=words))
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     masks = block_masks(nodes.count(), radius)
     roots = components(links(tiled(nodes.select("fp"), masks, radius, tile), radius))
@@ -258,15 +282,15 @@ def grouped(docs: DataFrame, *, radius: int = RADIUS, words: int = SHINGLE, tile
     return prints.join(of_print, "fp").select("doc_id", "fp", "root", "component_id")
 
 
-def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, words: int = SHINGLE, tile: int = TILE) -> DataFrame:
     """One row for every document: ``doc_id``, ``fingerprint`` (16 hex digits) and
     ``component_id``, the smallest doc_id that links of at most ``radius`` bits reach."""
-    return grouped(docs, radius=radius, words=words).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return grouped(docs, radius=radius, words=words, tile=tile).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, *, radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:
     """``docs`` with one document of each component, one with the smallest doc_id."""
-    found = held(grouped(docs, radius=radius, words=words))
+    found = written(grouped(docs, radius=radius, words=words))
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     several = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__several")))
     same = F.col("doc_id").eqNullSafe(F.col("__several"))
