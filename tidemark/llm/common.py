@@ -11,7 +11,6 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text bytes that one numpy pass looks at. A longer single text is a pass of its own.
 PASS_BYTES = 2 << 20
@@ -251,19 +251,25 @@ def remainder(column: str, modulus: int):
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: dict | int, max_chars: int) -> list[tuple]:
     """(doc_id, label, text) of a bounded sample, in order: of each label value the
     ``per_class`` documents whose hashed doc_id is smallest, texts over ``max_chars`` left
-    out. Labels first, so that only the sample's texts are moved; the window keeps no more
-    than the bound of a label before its rows are shuffled."""
-    most = per_class if isinstance(per_class, int) else max(per_class.values())
+    out. Labels first, so that only the sample's texts are moved."""
     known = labels.select("doc_id", F.col(label).alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
-    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
-    place = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.withColumn("place", place).where(F.col("place") <= most)
-    if not isinstance(per_class, int):
-        chosen = chosen.where(reduce(lambda a, b: a | b, [(F.col("label") == value) & (F.col("place") <= n) for value, n in per_class.items()]))
+    known = known.withColumn("order", F.xxhash64("doc_id"))
+    counts = known.groupBy("label").agg(F.approx_count_distinct("doc_id").alias("n")).collect()  # a row for each label
+    most = lambda x: per_class if isinstance(per_class, int) else per_class.get(x, 0)
+    # The smallest hashes are below a cut that leaves half as many again as are wanted.
+    bounds = [(r["label"], most(r["label"]), min(1.0, (1.5 * most(r["label"]) + 50) / r["n"])) for r in counts if most(r["label"])]
+    if not bounds:
+        return []
+    spark = docs.sparkSession
+    wanted = F.broadcast(spark.createDataFrame(bounds, T.StructType([known.schema["label"], T.StructField("most", T.IntegerType()), T.StructField("share", T.DoubleType())])))
+    part = (F.col("order").cast("double") + 2.0**63) / 2.0**64
+    known = known.where(part <= max(x for _, _, x in bounds)).groupBy("doc_id", "order").agg(F.max("label").alias("label"))
+    place = F.row_number().over(W.partitionBy("label").orderBy("order", "doc_id"))
+    chosen = known.join(wanted, "label").where(part <= F.col("share")).withColumn("place", place).where("place <= most")
     chosen = chosen.select("doc_id", "label").toArrow()  # bounded by the parameter
     if not chosen.num_rows:
         return []
-    few = docs.sparkSession.createDataFrame(chosen)
+    few = spark.createDataFrame(chosen)
     found = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(few), "doc_id")
     rows = found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).toArrow().to_pylist()
     return sorted((r["doc_id"], r["label"], r["text"]) for r in rows)
