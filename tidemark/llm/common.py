@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes that one numpy pass looks at. A longer single text is a pass of its own.
-PASS_BYTES = 2 << 20
+PASS_BYTES = 1 << 20
 
 #: Bytes of a slice of a longer text, about. Operators add up what they find in the slices.
 SLICE_BYTES = 1 << 20

@@ -53,7 +53,6 @@ def tokenizer(path: str):
     import tiktoken
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as f:
         stored = json.load(f)
     vocabulary = stored["model"]["vocab"]
@@ -72,6 +71,7 @@ def tokenizer(path: str):
             for run in long_run.finditer(piece):
                 end = run.end() - (run.end() < len(piece))
                 yield fast.encode_to_numpy(piece[at : run.start()], allowed_special="all")
+                own = Tokenizer.from_file(path)  # seldom needed, and large
                 yield np.array(own.encode(piece[run.start() : end], add_special_tokens=False).ids, dtype="<u4")
                 at = end
             yield fast.encode_to_numpy(piece[at:], allowed_special="all")
