@@ -52,8 +52,8 @@ def freshness_bucket(days: Column) -> Column:
 
 def segment_kpis(candidates: DataFrame, *, min_cell_count: int | None = None) -> DataFrame:
     """Impressions, candidates, clicks and ctr by device, position, slate size, history and
-    freshness; ``low_support`` with ``min_cell_count``. One scan: rows are grouped by their
-    five values first, so that only groups are multiplied by five."""
+    freshness; ``low_support`` with ``min_cell_count``. One scan: every row is a row of five
+    cells, which are counted by cell and impression before the shuffle."""
     values = {
         "device_type": F.coalesce(F.col("device_type").cast("string"), F.lit("unknown")),
         "candidate_position": F.col("candidate_position").cast("string"),
@@ -71,8 +71,8 @@ def segment_kpis(candidates: DataFrame, *, min_cell_count: int | None = None) ->
 
 
 def data_quality(candidates: DataFrame) -> DataFrame:
-    """(metric, numeric_value, text_value): 16 counts, null rates and the time range. Rows
-    fold to impressions first, so the distinct counts and the slate check share a shuffle."""
+    """(metric, numeric_value, text_value): 16 counts, null rates and the time range, from one
+    aggregation of the rows with three distinct counts and one by impression."""
     null = lambda c: F.count_if(F.col(c).isNull())
     n = F.count("*")
     rates = ["impression_id", "user_id", "article_id", "impression_time", "published_time", "label"]

@@ -142,7 +142,7 @@ def _timed(work):
     return work(), time.perf_counter() - began
 
 
-def run_benchmark(spark: SparkSession, data: str, output: str, *, models: list[str], bootstrap_samples: int = 200, seed: int = 42, text_components: int = 32, valid_fraction: float = 0.2, trees: int = M.TREES) -> list[dict]:
+def run_benchmark(spark: SparkSession, data: str, output: str, *, models: list[str], bootstrap_samples: int = 200, seed: int = 42, text_components: int = 32, valid_fraction: float = 0.2, trees: int = M.TREES, draws: str = "numpy") -> list[dict]:
     """Compares scorers on the same later impressions: leaderboard, paired bootstrap,
     ablations, segments, diagnostics. All models' scores are one long table, so that metrics
     and bootstrap are one job each."""
@@ -172,7 +172,7 @@ def run_benchmark(spark: SparkSession, data: str, output: str, *, models: list[s
     R.check_scored(scores)
     per = R.per_impression(scores).persist(StorageLevel.MEMORY_AND_DISK)
     board = [r | facts[r["model"]] for r in _rows(R.leaderboard(per.groupBy("model").agg(*R.averages((5, 10)))))]
-    intervals = _rows(R.bootstrap_intervals(per, samples=bootstrap_samples, seed=seed))
+    intervals = _rows(R.bootstrap_intervals(per, samples=bootstrap_samples, seed=seed, how=draws))
     if "logistic" not in learned:
         learned["logistic"] = M.fit_logistic(train, E.NAMES)
     ablations = []

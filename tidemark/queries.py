@@ -287,8 +287,8 @@ _POISSON = " ".join(f"WHEN u < {sum(math.exp(-1) / math.factorial(i) for i in ra
     PER_IMPRESSION
     + f""", draws AS (
   SELECT *, CASE {_POISSON} ELSE 12 END AS times FROM (
-    SELECT per.*, s AS replicate, CAST('0x' || substr(md5(CAST(impression_id AS VARCHAR) || ':' || CAST(s AS VARCHAR) || ':42'), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS u
-    FROM per, range(0, 20) t(s))
+    SELECT per.*, s AS replicate, CAST('0x' || substr(md5(CAST(impression_id AS VARCHAR) || ':' || CAST(s // 4 AS VARCHAR) || ':42'), CAST(s % 4 * 8 + 1 AS INTEGER), 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS u
+    FROM per, range(0, 200) t(s))
 ), replicates AS (
   SELECT model, replicate, sum(auc * times) / sum(CASE WHEN auc IS NOT NULL THEN times END) AS group_auc, sum(rr * times) / sum(times) AS mrr,
     sum("ndcg@5" * times) / sum(times) AS n5, sum("ndcg@10" * times) / sum(times) AS n10
@@ -298,10 +298,10 @@ _POISSON = " ".join(f"WHEN u < {sum(math.exp(-1) / math.factorial(i) for i in ra
   UNION ALL SELECT model, 'ndcg@5', n5 FROM replicates UNION ALL SELECT model, 'ndcg@10', n10 FROM replicates
 )
 SELECT model, metric, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS lower, round(quantile_cont(v, 0.975), 6) AS upper,
-  count(v) AS valid_samples, CAST(20 AS BIGINT) AS requested_samples FROM long GROUP BY 1, 2"""
+  count(v) AS valid_samples, CAST(200 AS BIGINT) AS requested_samples FROM long GROUP BY 1, 2"""
 )
 def bootstrap_intervals(spark: SparkSession, folder: str) -> DataFrame:
-    return R.bootstrap_intervals(R.per_impression(scored_models(spark, folder)), samples=20, how="poisson")
+    return R.bootstrap_intervals(R.per_impression(scored_models(spark, folder)), samples=200, how="poisson")
 
 
 #: The experiment over customers: more returns under treatment, price and quantity guarded.
@@ -338,6 +338,14 @@ effects AS (
 _Z = repr(X.normal_quantile(0.975))
 
 
+def tail_sql(z: str) -> str:
+    """The two-sided normal tail at ``z``, by the series of the error function whose terms
+    are all positive."""
+    term = f"exp(ln(abs({z}) / sqrt(2.0::DOUBLE)) + n * ln({z} * {z}) - (n + 1) * ln(2.0::DOUBLE) - lgamma(n + 1.5::DOUBLE) + 0.5::DOUBLE * ln(pi()))"
+    series = f"2 / sqrt(pi()) * exp(-{z} * {z} / 2) * list_sum(list_transform(range(0, 400), lambda n: {term}))"
+    return f"CASE WHEN {z} = 0 THEN 1.0::DOUBLE WHEN abs({z}) > 9 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - {series}) END"
+
+
 def arms(spark: SparkSession, folder: str) -> dict:
     return {r["arm"]: r for r in X.arm_moments(D.experiment(spark, folder), RCT).collect()}
 
@@ -397,9 +405,26 @@ def segment_effects(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "segment string, value string, units bigint, control_units bigint, treatment_units bigint, low_support boolean, effect double, standard_error double")
 
 
-@query()
+_CELL_Z = " ".join(f"WHEN {k} THEN {X.normal_quantile(1 - 0.05 / k / 2)!r}::DOUBLE" for k in range(1, 21))
+
+
+@query(
+    D.with_tables("experiment")
+    + f""", cells AS (SELECT segment AS value, variant, count(*) AS n, avg(click) AS m, var_samp(click) AS v FROM units GROUP BY ALL),
+effects AS (
+  SELECT c.value, t.m - c.m AS effect, sqrt(c.v / c.n + t.v / t.n) AS se, count(*) OVER () AS tests
+  FROM cells c JOIN cells t ON c.value = t.value AND c.variant = 'control' AND t.variant = 'treatment'
+), tails AS (SELECT *, effect / se AS z FROM effects), tested AS (SELECT *, {tail_sql("z")} AS p FROM tails),
+placed AS (SELECT *, row_number() OVER (ORDER BY p, value) - 1 AS k FROM tested),
+stepped AS (
+  SELECT *, 0.05::DOUBLE / (tests - k) AS a, max((tests - k) * p) OVER (ORDER BY k) AS worst, CASE tests {_CELL_Z} END AS q,
+    bool_and(p <= 0.05::DOUBLE / (tests - k)) OVER (ORDER BY k) AS significant FROM placed
+)
+SELECT 'segment' AS segment, value, round(p, 6) AS p_value, round(a, 6) AS multiplicity_alpha, round(least(1, worst), 6) AS holm_adjusted_p_value, significant,
+  round(effect - q * se, 6) AS ci_lower, round(effect + q * se, 6) AS ci_upper, 'bonferroni' AS interval_method FROM stepped"""
+)
 def segment_inference(spark: SparkSession, folder: str) -> DataFrame:
-    """P-values and Holm's adjustment; neither engine has the normal tail in SQL."""
+    """P-values, Holm's adjustment and Bonferroni intervals of the confirmatory cells."""
     keys = ("segment", "value", "p_value", "multiplicity_alpha", "holm_adjusted_p_value", "significant", "ci_lower", "ci_upper", "interval_method")
     rows = [tuple(getattr(e, k) for k in keys) for e in X.estimate_segment_effects(D.experiment(spark, folder), RCT)]
     return spark.createDataFrame(rows, "segment string, value string, p_value double, multiplicity_alpha double, holm_adjusted_p_value double, significant boolean, ci_lower double, ci_upper double, interval_method string")
@@ -427,12 +452,42 @@ def guardrail_states(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "metric string, state string")
 
 
-@query()
+@query(
+    _ARMS
+    + f""", bounds AS (SELECT metric, tm - cm - {_Z}::DOUBLE * sqrt(cv / cn + tv / tn) AS low, tm - cm + {_Z}::DOUBLE * sqrt(cv / cn + tv / tn) AS high FROM effects),
+states AS (
+  SELECT count(*) FILTER (WHERE (metric = 'price' AND high < -2000) OR (metric = 'quantity' AND low > 0.5)) AS failed,
+    count(*) FILTER (WHERE (metric = 'price' AND low >= -2000) OR (metric = 'quantity' AND high <= 0.5)) AS passed FROM bounds
+), fit AS (SELECT covar_samp(click, balance) / var_samp(balance) AS theta, avg(balance) AS x FROM units),
+adjusted AS (SELECT variant, count(*) AS n, avg(click - theta * (balance - fit.x)) AS m, var_samp(click - theta * (balance - fit.x)) AS v FROM units, fit GROUP BY variant),
+gap AS (SELECT t.m - c.m AS effect, sqrt(c.v / c.n + t.v / t.n) AS se FROM adjusted c, adjusted t WHERE c.variant = 'control' AND t.variant = 'treatment'),
+ratio AS (SELECT sum((n - total / 2.0::DOUBLE) ** 2 / (total / 2.0::DOUBLE)) AS statistic FROM (SELECT count(*) AS n, sum(count(*)) OVER () AS total FROM units GROUP BY variant))
+SELECT CASE WHEN statistic > {_Z}::DOUBLE ** 2 THEN 'invalid_experiment' WHEN effect + {_Z}::DOUBLE * se < 0 OR failed > 0 THEN 'do_not_launch'
+  WHEN passed = 2 AND effect - {_Z}::DOUBLE * se > 0.01 THEN 'launch' ELSE 'continue_experiment' END AS status FROM states, gap, ratio"""
+)
 def launch_decision(spark: SparkSession, folder: str) -> DataFrame:
     found = X.make_decision(X.analyze_experiment(D.experiment(spark, folder), RCT), RCT)
     return spark.createDataFrame([(found.status.value,)], "status string")
 
 
+@query(
+    D.with_tables("experiment")
+    + f""", designs AS (SELECT rate, mde FROM (SELECT avg(click) FILTER (WHERE variant = 'control') AS rate FROM units), (VALUES (0.01::DOUBLE), (0.02::DOUBLE), (0.05::DOUBLE)) v(mde)),
+sizes AS (
+  SELECT mde, CAST(ceil((({_Z}::DOUBLE * sqrt(2 * (rate + mde / 2) * (1 - rate - mde / 2)) + {X.normal_quantile(0.8)!r}::DOUBLE * sqrt(rate * (1 - rate) + (rate + mde) * (1 - rate - mde))) / mde) ** 2) AS BIGINT) AS units_per_arm FROM designs
+)
+SELECT mde, units_per_arm, CAST(ceil(2 * units_per_arm / 1000.0::DOUBLE) AS BIGINT) AS days FROM sizes"""
+)
+def sample_size(spark: SparkSession, folder: str) -> DataFrame:
+    """Units for each arm and days at 1,000 units a day, from the control arm's click rate."""
+    rate = arms(spark, folder)["control"]["mean_0"]
+    rows = []
+    for mde in (0.01, 0.02, 0.05):
+        design = X.ExperimentDesign(rate, mde)
+        rows.append((mde, X.required_sample_size(design), X.required_days(design, 1000)))
+    return spark.createDataFrame(rows, "mde double, units_per_arm bigint, days bigint")
+
+
 #: The rollout over nations: quarters as periods, the first quarter of 1999 as the rollout.
 ROLLOUT = K.CausalConfig(
     "market_id", "relative_week", "treated_market", "policy_active", "candidate_exposures", "clicks", "ctr", "rate",
@@ -468,7 +523,34 @@ def preperiod_balance(spark: SparkSession, folder: str) -> DataFrame:
     return K.preperiod_balance(D.panel(spark, folder), ROLLOUT)
 
 
-@query()
+def rollout_sql(rows: str) -> str:
+    """The weighted two-way estimate over ``rows`` (m: market, t: week, e: weight, y: outcome,
+    d: term) as a table ``found``: both are demeaned by market and week in turn until that
+    changes nothing, and the clusters' scores follow from what is left."""
+    mean = lambda c, by: f"{c} - sum(e * {c}) OVER (PARTITION BY {by}) / sum(e) OVER (PARTITION BY {by})"
+    return D.with_tables("panel").replace("WITH ", "WITH RECURSIVE ", 1) + f""", base AS ({rows}),
+turns AS (
+  SELECT 0 AS k, * FROM base
+  UNION ALL SELECT k + 1, m, t, e, {mean("y", "t")}, {mean("d", "t")} FROM (SELECT k, m, t, e, {mean("y", "m")} AS y, {mean("d", "m")} AS d FROM turns WHERE k < 300)
+), within AS (SELECT * FROM turns WHERE k = 300),
+slope AS (SELECT sum(e * d * y) / sum(e * d * d) AS b, sum(e * d * d) AS dd, count(*) AS n, count(DISTINCT m) AS g, count(DISTINCT t) AS w FROM within),
+scores AS (SELECT m, sum(e * d * (y - b * d)) AS s FROM within, slope GROUP BY m),
+found AS (
+  SELECT any_value(b) AS effect, any_value(n) AS observations,
+    sqrt(any_value(g) / (any_value(g) - 1.0::DOUBLE) * (any_value(n) - 1) / (any_value(n) - any_value(g) - any_value(w)) * sum(s * s)) / any_value(dd) AS se FROM scores, slope
+)"""
+
+
+_ALL_ROWS = "SELECT market_id AS m, relative_week AS t, candidate_exposures::DOUBLE AS e, ctr AS y, policy_active::DOUBLE AS d FROM panel"
+_BEFORE = "SELECT market_id AS m, relative_week AS t, candidate_exposures::DOUBLE AS e, ctr AS y, CASE WHEN treated_market = 1 AND relative_week >= -8 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS d FROM panel WHERE relative_week < 0"
+_INTERVAL = f"round(effect - {_Z}::DOUBLE * se, 6) AS ci_lower, round(effect + {_Z}::DOUBLE * se, 6) AS ci_upper"
+
+
+@query(
+    rollout_sql(_ALL_ROWS)
+    + f"""SELECT 'policy_active' AS term, round(effect, 6) AS effect, round(se, 6) AS standard_error, round(z, 6) AS statistic, round({tail_sql("z")}, 6) AS p_value, {_INTERVAL}, observations
+FROM (SELECT *, effect / se AS z FROM found)"""
+)
 def did_fixed_effects(spark: SparkSession, folder: str) -> DataFrame:
     row = K.difference_in_differences(D.panel(spark, folder), ROLLOUT)
     keys = ("effect", "standard_error", "statistic", "p_value", "ci_lower", "ci_upper")
@@ -486,7 +568,38 @@ def did_two_by_two(spark: SparkSession, folder: str) -> DataFrame:
     return cells.agg(F.sum(F.when(F.col("treated_market") == F.col("post"), F.col("rate")).otherwise(-F.col("rate"))).alias("effect"), F.count("*").alias("cells"))
 
 
-@query()
+#: Every market has its arm's weeks, so the effect of a week is the difference between two
+#: regressions, one for each arm, in which the other weeks have an effect of their own. The
+#: week's indicator is demeaned by market and by week, the week and the reference being one.
+_EVENT = (
+    D.with_tables("panel").replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", base AS (SELECT market_id AS m, treated_market AS g, relative_week AS t, candidate_exposures::DOUBLE AS e, ctr AS y FROM panel WHERE relative_week BETWEEN -6 AND 5),
+ys AS (
+  SELECT 0 AS k, * FROM base
+  UNION ALL SELECT k + 1, m, g, t, e, y - sum(e * y) OVER (PARTITION BY g, t) / sum(e) OVER (PARTITION BY g, t)
+    FROM (SELECT k, m, g, t, e, y - sum(e * y) OVER (PARTITION BY m) / sum(e) OVER (PARTITION BY m) AS y FROM ys WHERE k < 300)
+), xs AS (
+  SELECT 0 AS k, w, m, g, t, CASE WHEN t = w THEN -1 ELSE t END AS f, e, CASE WHEN t = w THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS x FROM base, (SELECT DISTINCT t AS w FROM base WHERE t <> -1)
+  UNION ALL SELECT k + 1, w, m, g, t, f, e, x - sum(e * x) OVER (PARTITION BY w, g, f) / sum(e) OVER (PARTITION BY w, g, f)
+    FROM (SELECT k, w, m, g, t, f, e, x - sum(e * x) OVER (PARTITION BY w, m) / sum(e) OVER (PARTITION BY w, m) AS x FROM xs WHERE k < 300)
+), joined AS (SELECT w, m, g, t, xs.e, x, base.y, ys.y AS r FROM xs JOIN base USING (m, g, t) JOIN ys USING (m, g, t) WHERE xs.k = 300 AND ys.k = 300),
+slopes AS (SELECT w, g, sum(e * x * y) / sum(e * x * x) AS b, sum(e * x * x) AS xx FROM joined GROUP BY w, g),
+scores AS (SELECT w, g, m, sum(e * x * r) AS s FROM joined GROUP BY ALL),
+size AS (SELECT count(*) AS n, count(DISTINCT m) AS g, 2 * count(DISTINCT t) - 2 AS k FROM base),
+found AS (
+  SELECT w, any_value(effect) AS effect, sqrt(any_value(c) * sum((s / xx) ** 2)) AS se
+  FROM scores JOIN slopes USING (w, g) JOIN (SELECT w, sum(CASE WHEN g = 1 THEN b ELSE -b END) AS effect FROM slopes GROUP BY w) USING (w),
+    (SELECT g / (g - 1.0::DOUBLE) * (n - 1) / (n - g - k) AS c FROM size)
+  GROUP BY w
+)"""
+)
+
+
+@query(
+    _EVENT
+    + f"""SELECT CAST(w AS INTEGER) AS relative_week, 'event_' || CASE WHEN w < 0 THEN 'm' ELSE 'p' END || abs(w) AS term, round(effect, 6) AS effect, round(se, 6) AS standard_error,
+  round(z, 6) AS statistic, round({tail_sql("z")}, 6) AS p_value, {_INTERVAL} FROM (SELECT *, effect / se AS z FROM found)"""
+)
 def event_study(spark: SparkSession, folder: str) -> DataFrame:
     rows, _ = K.event_study(D.panel(spark, folder), ROLLOUT)
     keys = ("effect", "standard_error", "statistic", "p_value", "ci_lower", "ci_upper")
@@ -494,14 +607,41 @@ def event_study(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query()
+def pretrend_test(spark: SparkSession, folder: str) -> DataFrame:
+    """The joint test of the leads: a matrix inverse, which tests hold against published values."""
+    _, test = K.event_study(D.panel(spark, folder), ROLLOUT)
+    return spark.createDataFrame([(test["statistic"], test["degrees_of_freedom"], test["p_value"], test["passed"])], "statistic double, degrees_of_freedom int, p_value double, passed boolean")
+
+
+@query(
+    rollout_sql(_ALL_ROWS)
+    + f"""SELECT CAST(1000000 AS BIGINT) AS scale_exposures, round(1000000 * effect, 2) AS incremental_clicks, round(1000000 * (effect - {_Z}::DOUBLE * se), 2) AS ci_lower_clicks, round(1000000 * (effect + {_Z}::DOUBLE * se), 2) AS ci_upper_clicks FROM found"""
+)
+def rollout_impact(spark: SparkSession, folder: str) -> DataFrame:
+    found = K.business_impact(K.difference_in_differences(D.panel(spark, folder), ROLLOUT), ROLLOUT)
+    clicks = ("incremental_clicks", "ci_lower_clicks", "ci_upper_clicks")
+    rows = spark.createDataFrame([(found["scale_exposures"], *(found[k] for k in clicks))], "scale_exposures bigint, " + ", ".join(f"{k} double" for k in clicks))
+    return rows.select("scale_exposures", *[F.round(k, 2).alias(k) for k in clicks])
+
+
+@query()
+def rollout_decision(spark: SparkSession, folder: str) -> DataFrame:
+    """Needs the joint test of the leads, see ``pretrend_test``."""
+    return spark.createDataFrame([(K.evaluate_causal_decision(K.analyze_panel(D.panel(spark, folder), ROLLOUT), ROLLOUT).value,)], "status string")
+
+
+@query(
+    rollout_sql(_BEFORE)
+    + f"""SELECT round(effect, 6) AS effect, round(se, 6) AS standard_error, {_INTERVAL}, effect - {_Z}::DOUBLE * se <= 0 AND effect + {_Z}::DOUBLE * se >= 0 AS passed FROM found"""
+)
 def placebo_rollout(spark: SparkSession, folder: str) -> DataFrame:
     row, test = K.placebo(D.panel(spark, folder), ROLLOUT)
     return spark.createDataFrame([(row["effect"], row["standard_error"], row["ci_lower"], row["ci_upper"], test["passed"])], "effect double, standard_error double, ci_lower double, ci_upper double, passed boolean")
 
 
-def fitted_features(spark: SparkSession, folder: str) -> tuple[E.FeatureBuilder, DataFrame, DataFrame]:
+def fitted_features(spark: SparkSession, folder: str, *, semantic: bool = True) -> tuple[E.FeatureBuilder, DataFrame, DataFrame]:
     train, valid = C.temporal_split(D.candidates(spark, folder), valid_fraction=0.2)
-    return E.FeatureBuilder(n_components=8).fit(D.articles(spark, folder), D.history(spark, folder), train), train, valid
+    return E.FeatureBuilder(n_components=8, semantic=semantic).fit(D.articles(spark, folder), D.history(spark, folder), train), train, valid
 
 
 _STRUCTURED = [n for g in ("context", "article", "personalization") for n in E.GROUPS[g]]
@@ -530,7 +670,7 @@ SELECT impression_id, article_id, round(sin(2 * pi() * hour(impression_time) / 2
 FROM base"""
 )
 def structured_features(spark: SparkSession, folder: str) -> DataFrame:
-    builder, _, valid = fitted_features(spark, folder)
+    builder, _, valid = fitted_features(spark, folder, semantic=False)
     return builder.transform(valid).select("impression_id", "article_id", *_STRUCTURED)
 
 
