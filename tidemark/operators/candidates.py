@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from tidemark.errors import ContractError
 
@@ -77,12 +78,12 @@ def temporal_split(candidates: DataFrame, *, valid_fraction: float = 0.2) -> tup
     so no task sorts and the driver sees counts of bounded number."""
     if not 0 < valid_fraction < 1:
         raise ContractError("valid_fraction must be between zero and one")
-    times = candidates.select("impression_time", F.unix_micros(F.col("impression_time").cast("timestamp")).alias("micros")).where(F.col("micros").isNotNull())
+    times = candidates.select("impression_time", F.unix_micros(F.col("impression_time").cast("timestamp")).alias("micros")).where(F.col("micros").isNotNull()).distinct().persist(StorageLevel.MEMORY_AND_DISK)
 
     def counts(width: int, low: int | None = None, high: int | None = None) -> list[tuple[int, int]]:
         here = times if low is None else times.where(F.col("micros").between(low, high))
         bucket = F.floor(F.col("micros") / F.lit(width)).cast("bigint") if width > 1 else F.col("micros")
-        found = here.distinct().groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).collect()
+        found = here.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).collect()
         return sorted(((r["bucket"], r["n"]) for r in found), reverse=True)
 
     days = counts(DAY)
@@ -94,6 +95,7 @@ def temporal_split(candidates: DataFrame, *, valid_fraction: float = 0.2) -> tup
     second, left = _reach(counts(SECOND, day * DAY, day * DAY + DAY - 1), left)
     micros, _ = _reach(counts(1, second * SECOND, second * SECOND + SECOND - 1), left)
     cutoff = times.where(F.col("micros") == micros).agg(F.min("impression_time")).first()[0]
+    times.unpersist()
     limit = F.lit(cutoff).cast(candidates.schema["impression_time"].dataType)
     return candidates.where(F.col("impression_time") < limit), candidates.where(F.col("impression_time") >= limit)
 
