@@ -2,7 +2,13 @@
 
 Every stage function takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each result as Parquet in the folder that driver and executors share and reads it again as
-the next stage's documents. All stages but the last return the columns of ``documents``.
+the next stage's documents. All stages but the last return the columns of ``documents``,
+those of clashing names with their own values.
+
+Defined cases, beside those of the operators: a null or empty text has no feature and is
+kept or rejected by the classifier's bias, like any other; without labels every document is
+kept; rows with a null doc_id or one that repeats pass all stages as documents of their own;
+an empty table gives empty results.
 """
 
 from __future__ import annotations
@@ -11,27 +17,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, linededup, packing, quality, simhash
-from tidemark.llm.common import table, written
+from tidemark.llm.common import kept_columns, table, written
 from tidemark.llm.queries import bpe_path
 
 
-def _columns(df: DataFrame, docs: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject. All labels are learned from."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return _columns(quality.score(docs, model).where(F.col("score") >= quality.THRESHOLD), docs)
+    return kept_columns(docs, ["score"], lambda d: quality.score(d, model).where(F.col("score") >= quality.THRESHOLD))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; ``n_chars`` follows the text."""
-    done = linededup.dedup_lines(docs)
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        done = done.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return _columns(done, docs)
+
+    def work(rows: DataFrame) -> DataFrame:
+        done = linededup.dedup_lines(rows)
+        if "n_chars" not in rows.columns:
+            return done
+        kind = rows.schema["n_chars"].dataType
+        return done.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+
+    return kept_columns(docs, ["n_lines", "n_dropped"], work)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

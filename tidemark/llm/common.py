@@ -70,6 +70,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept_columns(docs: DataFrame, names: list[str], work) -> DataFrame:
+    """``work(docs)`` with exactly the columns of ``docs``, also where some of them have the
+    ``names`` (in any case) that ``work`` gives its own results."""
+    taken = {n.lower() for n in names}
+    aside = {c: f"__own_{k}" for k, c in enumerate(docs.columns) if c.lower() in taken}
+    done = work(docs.withColumnsRenamed(aside))
+    return done.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def map_batches(df: DataFrame, scan, schema) -> DataFrame:
     """``mapInArrow`` with Arrow batches bounded in bytes: by default a batch has 10,000 rows
     whatever their size. The bound is a setting of the session, which plans take up when they

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import LOWER_BYTE, SLICE_BYTES, cuts, map_batches, passes, runs, span_hashes, text_bytes, written
+from tidemark.llm.common import LOWER_BYTE, SLICE_BYTES, cuts, kept_columns, map_batches, passes, runs, span_hashes, text_bytes, written
 
 WINDOW = 10
 
@@ -391,8 +391,7 @@ def _with_more(found: DataFrame, more: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> DataFrame:
     """``docs`` without the rows that share a window with the benchmark."""
-    marked = contamination(docs, benchmark, window=window)
-    return marked.where("n_hit = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept_columns(docs, RESULT, lambda d: contamination(d, benchmark, window=window).where("n_hit = 0"))
 
 
 def digest(marked: DataFrame) -> DataFrame:

@@ -18,27 +18,27 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH words AS (
-  SELECT 'd' AS side, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  SELECT 'd' AS side, row_number() OVER () AS rid, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
   UNION ALL
-  SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+  SELECT 'b', 0, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
 ), item_windows AS (
   SELECT DISTINCT id AS item_id, least(len(w), 10) AS size, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS window_text
   FROM (SELECT id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM words WHERE side = 'b' AND len(w) > 0)
 ), sizes AS (SELECT DISTINCT size FROM item_windows),
 doc_windows AS (
-  SELECT id AS doc_id, size, i, array_to_string(w[i : i + size - 1], ' ') AS window_text
-  FROM (SELECT id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM words, sizes WHERE side = 'd' AND len(w) >= size)
+  SELECT rid, size, i, array_to_string(w[i : i + size - 1], ' ') AS window_text
+  FROM (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM words, sizes WHERE side = 'd' AND len(w) >= size)
 ), found AS (
-  SELECT doc_id, d.size, i, item_id FROM doc_windows d JOIN item_windows b USING (size, window_text)
+  SELECT rid, d.size, i, item_id FROM doc_windows d JOIN item_windows b USING (size, window_text)
 ), hits AS (
-  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT doc_id, i, size FROM found)) GROUP BY doc_id
+  SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT rid, i, size FROM found)) GROUP BY rid
 ), listed AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+  SELECT rid, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY rid
 )
 SELECT id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM words LEFT JOIN hits ON hits.doc_id = id LEFT JOIN listed ON listed.doc_id = id WHERE side = 'd'
+FROM words LEFT JOIN hits USING (rid) LEFT JOIN listed USING (rid) WHERE side = 'd'
 """
 
 
