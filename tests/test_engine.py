@@ -142,6 +142,26 @@ def test_popularity_and_top_k(spark):
         R.rank_candidates(got, top_k=0)
 
 
+def test_bad_rows_stop_the_job(spark, small):
+    """Labels, scores, slates, catalogues and segments that break the contract are errors."""
+    from pyspark.errors import PySparkException
+
+    good = scored(spark, [1, 0, 1, 0], [0.9, 0.1, 0.8, 0.2], "aabb")
+    for bad in (good.withColumn("label", F.lit(2)), good.withColumn("score", F.lit(float("nan"))), good.withColumn("score", F.lit(None).cast("double"))):
+        with pytest.raises(PySparkException):
+            R.ranking_metrics(bad).collect()
+    articles, behaviors, history = small
+    with pytest.raises(PySparkException):
+        C.expand_candidates(behaviors.withColumn("article_ids_inview", F.lit(None).cast("array<bigint>"))).collect()
+    with pytest.raises(PySparkException):
+        C.analytics_candidates(C.expand_candidates(behaviors), articles.union(articles), history).collect()
+    changing = good.withColumns({"device_type": F.col("candidate_position"), "candidate_count": F.lit(2), "history_length": F.lit(0)})
+    with pytest.raises(PySparkException):
+        R.segment_ranking_metrics(changing).collect()
+    with pytest.raises(ValueError):
+        R.bootstrap_replicates(R.per_impression(good.withColumn("model", F.lit("m"))), how="other")
+
+
 def test_bootstrap_is_paired_and_repeatable(spark):
     good = scored(spark, [1, 0, 1, 0, 0, 1], [0.9, 0.1, 0.8, 0.2, 0.1, 0.9], "aabbcc").withColumn("model", F.lit("good"))
     per = R.per_impression(good.union(good.withColumn("score", -F.col("score")).withColumn("model", F.lit("bad"))))
@@ -163,6 +183,9 @@ def test_features_do_not_leak(small, monkeypatch):
     got = {(r["impression_id"], r["article_id"]): r for r in builder.transform(rows).collect()}
     assert got[100, 10]["history_length"] == 2 and got[100, 10]["category_affinity"] == 0.5 and got[101, 11]["text_similarity"] == 0
     assert got[100, 10]["publication_age_hours"] == 24.0 and got[100, 10]["subtitle_length"] == 0
+    plain = {(r["impression_id"], r["article_id"]): r for r in E.FeatureBuilder(2, semantic=False).fit(articles, history, rows).transform(rows).collect()}
+    for key, row in got.items():
+        assert all(plain[key][n] == (0.0 if n in E.GROUPS["semantic"] else row[n]) for n in E.NAMES)
     monkeypatch.setattr(E, "EXACT_MEDIANS", 0)
     assert E.FeatureBuilder(2).fit(articles, history, rows).medians["candidate_count"] == builder.medians["candidate_count"] == 2
     with pytest.raises(ContractError, match="999"):
@@ -208,6 +231,82 @@ def test_published_rollout(spark, tmp_path):
         K.validate_market_panel(bad, K.CausalConfig.from_json(json.dumps(ROLLOUT)))
 
 
+PANEL_ERRORS = {
+    "no column": lambda d: d.drop("ctr"),
+    "text": lambda d: d.withColumn("clicks", F.lit("x")),
+    "no rows": lambda d: d.limit(0),
+    "null market": lambda d: d.withColumn("market_id", F.when(F.col("relative_week") != 0, F.col("market_id"))),
+    "repeated week": lambda d: d.union(d.limit(1)),
+    "not finite": lambda d: d.withColumn("ctr", F.when(F.col("relative_week") == 3, F.lit(float("nan"))).otherwise(F.col("ctr"))),
+    "half week": lambda d: d.withColumn("relative_week", F.col("relative_week") + 0.5),
+    "one arm": lambda d: d.where("treated_market = 1"),
+    "changes arm": lambda d: d.withColumn("treated_market", F.when(F.col("relative_week") == 3, 1 - F.col("treated_market")).otherwise(F.col("treated_market"))),
+    "too early": lambda d: d.withColumn("policy_active", F.col("treated_market")),
+    "no exposure": lambda d: d.withColumn("candidate_exposures", F.lit(0)),
+    "clicks over exposures": lambda d: d.withColumn("clicks", F.col("candidate_exposures") + 1),
+    "wrong rate": lambda d: d.withColumn("ctr", F.col("ctr") / 2),
+    "few markets": lambda d: d.where("market_id < 'market_011'"),
+    "few weeks before": lambda d: d.where("relative_week >= -3"),
+    "few weeks after": lambda d: d.where("relative_week < 2"),
+    "missing week": lambda d: d.where("NOT (relative_week = 3 AND market_id = 'market_001')"),
+}
+
+
+@pytest.fixture(scope="module")
+def market_panel(spark):
+    return spark.createDataFrame(synthetic.panel_rows(42, 60, 20, 12), synthetic.PANEL_SCHEMA).coalesce(1).persist()
+
+
+@pytest.mark.parametrize("name", sorted(PANEL_ERRORS))
+def test_broken_panels_are_refused(market_panel, name):
+    with pytest.raises(ValueError):
+        K.validate_market_panel(PANEL_ERRORS[name](market_panel), K.CausalConfig.from_json(json.dumps(ROLLOUT)))
+
+
+UNIT_ERRORS = {
+    "no column": lambda d: d.drop("click"),
+    "text": lambda d: d.withColumn("click", F.lit("x")),
+    "no rows": lambda d: d.limit(0),
+    "null unit": lambda d: d.withColumn("user_id", F.when(F.col("user_id") != 3, F.col("user_id"))),
+    "repeated unit": lambda d: d.union(d.limit(1)),
+    "null arm": lambda d: d.withColumn("variant", F.when(F.col("user_id") != 3, F.col("variant"))),
+    "third arm": lambda d: d.withColumn("variant", F.when(F.col("user_id") == 3, "other").otherwise(F.col("variant"))),
+    "one arm": lambda d: d.where("variant = 'control'"),
+    "not finite": lambda d: d.withColumn("latency_ms", F.lit(float("inf"))),
+    "not binary": lambda d: d.withColumn("click", F.lit(2)),
+    "null segment": lambda d: d.withColumn("device_type", F.lit(None).cast("string")),
+}
+
+
+@pytest.fixture(scope="module")
+def units(spark):
+    return spark.createDataFrame(synthetic.experiment_rows(42, 300, 0.5), synthetic.EXPERIMENT_SCHEMA).coalesce(1).persist()
+
+
+@pytest.mark.parametrize("name", sorted(UNIT_ERRORS))
+def test_broken_experiments_are_refused(units, name):
+    with pytest.raises(ValueError):
+        X.validate_experiment(UNIT_ERRORS[name](units), X.ExperimentConfig.from_json(json.dumps(EXPERIMENT)))
+
+
+@pytest.mark.parametrize(
+    "change",
+    [{"alpha": 1.5}, {"minimum_markets": 3}, {"event_window": [0, 8]}, {"placebo_week": 0}, {"reference_week": 0}, {"balance_columns": []}, {"outcome_kind": "count"}, {"click_column": "ctr"}, {"maximum_missing_market_week_share": 1.0}],
+)
+def test_broken_rollout_configurations_are_refused(change):
+    with pytest.raises(ValueError):
+        K.CausalConfig.from_json(json.dumps(ROLLOUT | change)).check()
+
+
+@pytest.mark.parametrize(
+    "change",
+    [{"alpha": 0}, {"expected_allocation": {"control": 0.5, "treatment": 0.6}}, {"control_label": "treatment"}, {"cuped_covariate": "other"}, {"minimum_segment_units": 1}, {"confirmatory_segments": ["other"]}, {"practical_threshold": -1}],
+)
+def test_broken_experiment_configurations_are_refused(change):
+    with pytest.raises(ValueError):
+        X.ExperimentConfig.from_json(json.dumps(EXPERIMENT | change))
+
+
 def test_decisions():
     judge = lambda **k: X.evaluate_decision(**({"srm_passed": True, "primary_lower": 0.01, "primary_upper": 0.02, "practical_threshold": 0.005, "guardrail_states": ["pass"]} | k))
     assert judge() is X.Decision.LAUNCH

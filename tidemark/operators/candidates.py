@@ -30,10 +30,13 @@ def require(df: DataFrame, columns: list[str], table: str) -> None:
 
 def expand_candidates(behaviors: DataFrame) -> DataFrame:
     """One row per in-view article with its 0-based ``candidate_position``, the slate's
-    ``candidate_count`` and ``label`` 1 if the article is among the row's clicks."""
+    ``candidate_count`` and ``label`` 1 if the article is among the row's clicks. A missing
+    slate is an error of the job; an empty one has no rows."""
     require(behaviors, REQUIRED["behaviors"], "behaviors")
     clicked = F.exists("article_ids_clicked", lambda x: x.eqNullSafe(F.col("article_id")))
-    rows = behaviors.select("*", F.posexplode("article_ids_inview").alias("candidate_position", "article_id"))
+    missing = F.raise_error(F.concat(F.lit("no in-view list in impression "), F.coalesce(F.col("impression_id").cast("string"), F.lit("null"))))
+    slate = F.when(F.col("article_ids_inview").isNotNull(), F.col("article_ids_inview")).otherwise(missing.cast(behaviors.schema["article_ids_inview"].dataType))
+    rows = behaviors.select("*", F.posexplode(slate).alias("candidate_position", "article_id"))
     rows = rows.withColumn("label", F.coalesce(clicked, F.lit(False)).cast("int")).withColumn("candidate_count", F.size("article_ids_inview"))
     return rows.drop("article_ids_inview", "article_ids_clicked")
 

@@ -68,14 +68,17 @@ def analytics_report(tier: EvidenceTier, tables: dict[str, list[dict]], fingerpr
     parts += [(f"Segments (low support: under {min_cell_count} impressions)", markdown_table(tables["segment_kpis"]))]
     retention = markdown_table(tables["user_cohorts"]) if tables["user_cohorts"] else "Retention needs at least two weeks of activity."
     parts += [("Weekly retention", retention), ("Data quality", markdown_table(tables["data_quality"])), ("Provenance", f"Input fingerprint: `{fingerprint}`")]
-    return document("Product analytics", tier, *parts)
+    method = "Rates are ratios of sums; an impression counts once in every segment it touches; a value missing in the log is a segment of its own. Weeks begin on Monday."
+    limits = "Clicks answer the order in which articles were shown. Differences between segments are descriptions, not effects, and small cells vary by chance."
+    return document("Product analytics", tier, *parts, ("Method", method), ("Limits", limits))
 
 
 def model_card(tier: EvidenceTier, metrics: dict, importance: list[tuple[str, float]]) -> str:
     facts = [{"fact": k, "value": v} for k, v in metrics.items()]
     use = "Orders candidates inside one impression. Scores of different impressions are not comparable; raw ids are not features."
     top = [{"feature": n, "importance": float(v)} for n, v in importance[:10]]
-    return document("Model card", tier, ("Use", use), ("Validation", markdown_table(facts)), ("Most important features", markdown_table(top)))
+    limits = "Trained on clicks under one earlier order, so positions carry over. New articles and readers have median or neutral features. No claim about groups of readers is tested here."
+    return document("Model card", tier, ("Use", use), ("Limits", limits), ("Validation", markdown_table(facts)), ("Most important features", markdown_table(top)))
 
 
 def benchmark_report(tier: EvidenceTier, leaderboard: list[dict], intervals: list[dict], ablations: list[dict], segments: list[dict], diagnostics: list[dict], config: dict) -> str:
@@ -83,7 +86,9 @@ def benchmark_report(tier: EvidenceTier, leaderboard: list[dict], intervals: lis
     deltas = [a | {"ndcg@10 against full": a["ndcg@10"] - full["ndcg@10"]} for a in ablations] if full else ablations
     parts = [("Leaderboard", markdown_table(leaderboard)), ("Paired bootstrap intervals", markdown_table(intervals)), ("Ablations", markdown_table(deltas))]
     parts += [("Segments", markdown_table(segments)), ("Position and freshness", markdown_table(diagnostics)), ("Configuration", markdown_table([{"setting": k, "value": v} for k, v in config.items()]))]
-    return document("Ranking benchmark", tier, *parts, ("Timing", "Seconds depend on the machine; clicks are logged under an earlier ranking, so positions bias them."))
+    method = "All models score the same later impressions. An interval holds the middle 95 % of weighted means over redrawn impressions, the same draws for every model; an ablation leaves out one group of features and refits. Negative differences mean that the group helped."
+    limits = "One split in time and one log: intervals cover the choice of impressions, not that of the period. Segments with few impressions are marked and should not be compared."
+    return document("Ranking benchmark", tier, *parts, ("Method", method), ("Limits", limits), ("Timing", "Seconds depend on the machine; clicks are logged under an earlier ranking, so positions bias them."))
 
 
 def decision_report(tier: EvidenceTier, decision: DecisionResult, analysis: ExperimentAnalysis, config: ExperimentConfig, provenance: dict) -> str:
@@ -94,7 +99,10 @@ def decision_report(tier: EvidenceTier, decision: DecisionResult, analysis: Expe
     segments = [asdict(e) for e in analysis.heterogeneous_effects]
     parts = [("Decision", verdict), ("Integrity", integrity), ("Effects", markdown_table([asdict(e) for e in analysis.effects])), ("Guardrails", markdown_table(decision.guardrails))]
     parts += [("Segments", markdown_table(segments) if segments else "None configured."), ("Provenance", markdown_table([{"input": k, "sha256": v} for k, v in provenance.items()]))]
-    return document("Experiment decision", tier, *parts)
+    rules = f"Order of the policy: a failed sample ratio ends it; then harm (the primary interval below 0, or a guardrail wholly beyond its margin); then doubt (a guardrail interval across its margin); launch needs the lower bound above {config.practical_threshold:g}."
+    assumptions = "One row for each randomized unit, all analysed in the arm they were dealt to; units do not affect each other; the covariate was measured before the start. Intervals are normal, with unequal variances; the covariate's factor comes from both arms together."
+    segments_note = f"Cells under {config.minimum_segment_units} units are marked. Confirmatory cells share the error rate by Holm's steps and have Bonferroni intervals; the others are exploratory and have none of that protection."
+    return document("Experiment decision", tier, *parts, ("Rules", rules), ("Assumptions", assumptions), ("Reading the segments", segments_note))
 
 
 def causal_report(tier: EvidenceTier, decision: CausalDecision, analysis: CausalAnalysis, config: CausalConfig, provenance: dict) -> str:
@@ -103,7 +111,11 @@ def causal_report(tier: EvidenceTier, decision: CausalDecision, analysis: Causal
     tests = [{"diagnostic": k, **{x: y for x, y in v.items() if not isinstance(y, (dict, list))}} for k, v in analysis.diagnostics.items()]
     parts = [("Decision", verdict), ("Estimate", markdown_table([did])), ("Event study", markdown_table(analysis.event_study)), ("Placebo", markdown_table([analysis.placebo_estimate]))]
     parts += [("Diagnostics", "\n\n".join(markdown_table([t]) for t in tests)), ("Balance before the rollout", markdown_table(analysis.balance)), ("Impact", markdown_table([analysis.business_impact]))]
-    return document("Rollout impact", tier, *parts, ("Provenance", markdown_table([{"input": k, "sha256": v} for k, v in provenance.items()])))
+    low, high = config.event_window
+    method = f"Least squares weighted by {config.exposure_column}, with an effect for every market and every week, errors clustered by market. The event study compares weeks {low} to {high} with week {config.reference_week}; the placebo moves the rollout to week {config.placebo_week} and uses only earlier rows."
+    assumptions = "Without the rollout both groups would have moved in parallel; nobody reacted before it; markets do not affect each other; the rollout did not depend on expected growth. The leads' joint test and the placebo can contradict this, not prove it."
+    limits = f"Markets were not randomized, and gaps in the balance table show how the groups differ. The impact scales the estimate to {config.business_exposure_scale} exposures and carries only its sampling error."
+    return document("Rollout impact", tier, *parts, ("Method", method), ("Assumptions", assumptions), ("Limits", limits), ("Provenance", markdown_table([{"input": k, "sha256": v} for k, v in provenance.items()])))
 
 
 def interval_plot(rows: Sequence[dict], label: str, title: str) -> str:

@@ -7,6 +7,7 @@ week) reach the driver.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import platform
 import time
@@ -210,6 +211,10 @@ def _metadata(spark: SparkSession, path: str, tier: reports.EvidenceTier) -> dic
     return facts
 
 
+def text_sha256(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def _agree(facts: dict, **found) -> None:
     for name, value in found.items():
         if facts.get(name) != value:
@@ -231,7 +236,7 @@ def run_experiment(spark: SparkSession, path: str, output: str, config_text: str
             files.rows_csv(spark, [asdict(e) for e in effects], f"{staging}/{name}.csv")
         files.write_text(spark, f"{staging}/srm.json", files.to_json(asdict(analysis.srm)))
         files.write_text(spark, f"{staging}/experiment_config.json", config_text)
-        files.write_text(spark, f"{staging}/run_manifest.json", files.to_json({"evidence_tier": tier.value, "inputs": provenance, "versions": versions(), "status": decision.status.value}))
+        files.write_text(spark, f"{staging}/run_manifest.json", files.to_json({"config_sha256": text_sha256(config_text), "evidence_tier": tier.value, "inputs": provenance, "versions": versions(), "status": decision.status.value}))
         files.write_text(spark, f"{staging}/decision_report.md", reports.decision_report(tier, decision, analysis, config, provenance))
         files.write_text(spark, f"{staging}/effects.svg", reports.interval_plot([asdict(e) for e in analysis.effects], "metric", "Effects"))
     return decision
@@ -246,14 +251,15 @@ def run_causal_impact(spark: SparkSession, path: str, output: str, config_text:
     facts, sha = _metadata(spark, path, tier), files.file_sha256(spark, path)
     _agree(facts, panel_sha256=sha, **{k: integrity[k] for k in ("rows", "markets", "treated_markets", "pre_weeks", "post_weeks")})
     decision = K.evaluate_causal_decision(analysis, config)
+    provenance = {"panel": sha, "metadata": files.file_sha256(spark, sidecar(path))}
     diagnostics = files.canonical(analysis.diagnostics | {"decision": {"status": decision.value}})
     with files.published(spark, output, CAUSAL_FILES) as staging:
         for name, rows in (("did_estimate", [analysis.did_estimate]), ("event_study", analysis.event_study), ("placebo_estimate", [analysis.placebo_estimate]), ("balance", analysis.balance), ("business_impact", [analysis.business_impact])):
             files.rows_csv(spark, rows, f"{staging}/{name}.csv")
         files.write_text(spark, f"{staging}/diagnostics.json", files.to_json(diagnostics))
         files.write_text(spark, f"{staging}/config_snapshot.json", config_text)
-        files.write_text(spark, f"{staging}/run_manifest.json", files.to_json({"evidence_tier": tier.value, "inputs": {"panel": sha}, "versions": versions(), "status": decision.value}))
-        files.write_text(spark, f"{staging}/causal_report.md", reports.causal_report(tier, decision, analysis, config, {"panel": sha}))
+        files.write_text(spark, f"{staging}/run_manifest.json", files.to_json({"config_sha256": text_sha256(config_text), "evidence_tier": tier.value, "inputs": provenance, "versions": versions(), "status": decision.value}))
+        files.write_text(spark, f"{staging}/causal_report.md", reports.causal_report(tier, decision, analysis, config, provenance))
         files.write_text(spark, f"{staging}/event_study.svg", reports.interval_plot(analysis.event_study, "relative_week", "Effect by week"))
     return decision
 

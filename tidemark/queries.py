@@ -142,11 +142,38 @@ def candidate_expansion(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     D.with_tables("articles", "candidates")
-    + """SELECT 'future_article' AS "check", impression_id, article_id FROM candidates JOIN articles USING (article_id) WHERE published_time > impression_time
-UNION ALL SELECT 'unknown_article', impression_id, c.article_id FROM candidates c LEFT JOIN articles a USING (article_id) WHERE a.article_id IS NULL"""
+    + """, logged AS (
+  SELECT impression_id, impression_time, list(article_id ORDER BY candidate_position) AS seen, coalesce(list(article_id ORDER BY candidate_position) FILTER (WHERE label = 1), []) AS clicked
+  FROM candidates GROUP BY impression_id, impression_time
+), spoilt AS (
+  SELECT impression_id, impression_time,
+    CASE WHEN impression_id % 83 = 0 THEN [] WHEN impression_id % 89 = 0 THEN list_concat(seen, seen[1:1]) WHEN impression_id % 101 = 0 THEN list_concat(seen, [-1]) ELSE seen END AS seen,
+    CASE WHEN impression_id % 79 = 0 THEN list_concat(clicked, [-7]) ELSE clicked END AS clicked FROM logged
+), behaviors AS (SELECT * FROM spoilt UNION ALL SELECT * FROM spoilt WHERE impression_id % 97 = 0),
+catalogue AS (SELECT * FROM articles UNION ALL SELECT * FROM articles WHERE article_id % 103 = 0),
+shown AS (SELECT impression_id, impression_time, unnest(list_distinct(seen)) AS article_id FROM behaviors)
+SELECT 'duplicate_impression' AS "check", impression_id, NULL::BIGINT AS article_id FROM behaviors GROUP BY impression_id HAVING count(*) > 1
+UNION ALL SELECT 'duplicate_article', NULL, article_id FROM catalogue GROUP BY article_id HAVING count(*) > 1
+UNION ALL SELECT 'empty_slate', impression_id, NULL FROM behaviors WHERE len(seen) = 0
+UNION ALL SELECT 'duplicate_in_slate', impression_id, NULL FROM behaviors WHERE len(list_distinct(seen)) < len(seen)
+UNION ALL SELECT 'click_outside_slate', impression_id, NULL FROM behaviors WHERE len(list_filter(clicked, lambda x: NOT list_contains(seen, x))) > 0
+UNION ALL SELECT 'future_article', impression_id, article_id FROM shown JOIN articles USING (article_id) WHERE published_time > impression_time
+UNION ALL SELECT 'unknown_article', impression_id, s.article_id FROM shown s LEFT JOIN articles a USING (article_id) WHERE a.article_id IS NULL"""
 )
 def audit_violations(spark: SparkSession, folder: str) -> DataFrame:
-    return C.violations(D.behaviors(spark, folder), D.articles(spark, folder))
+    """The audit of a log with planted errors of every kind."""
+    logged, articles = D.behaviors(spark, folder), D.articles(spark, folder)
+    every = lambda k: F.col("impression_id") % k == 0
+    kind = logged.schema["article_ids_inview"].dataType
+    one = lambda v: F.array(F.lit(v)).cast(kind)
+    seen = F.col("article_ids_inview")
+    spoilt = logged.withColumns(
+        {
+            "article_ids_inview": F.when(every(83), F.array().cast(kind)).when(every(89), F.concat(seen, F.slice(seen, 1, 1))).when(every(101), F.concat(seen, one(-1))).otherwise(seen),
+            "article_ids_clicked": F.when(every(79), F.concat("article_ids_clicked", one(-7))).otherwise(F.col("article_ids_clicked")),
+        }
+    )
+    return C.violations(spoilt.unionByName(spoilt.where(every(97))), articles.unionByName(articles.where(F.col("article_id") % 103 == 0)))
 
 
 @query(
