@@ -345,7 +345,7 @@ def test_sharding(docs, empty, tmp_path, spark):
 def test_sharding_numbers_hot_short_texts_in_parts(spark, hot, monkeypatch):
     monkeypatch.setattr(sharding, "UNIT_ROWS", 100)
     r = random.Random(9)
-    rows = [(k, sentence(r, 40)) for k in range(400)] + [(k, hot) for k in range(400, 1600)]
+    rows = [(k, sentence(r, 120)) for k in range(400)] + [(k, hot) for k in range(400, 1600)]  # under half a shard
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
     found = sharding.assigned(docs).toPandas()
     for _, g in found.groupby("shard"):
