@@ -317,7 +317,7 @@ def test_decisions():
     assert judge(primary_lower=0.001) is X.Decision.CONTINUE_EXPERIMENT
 
 
-def test_lambda_trees_learn_and_reload(spark, tmp_path):
+def test_models_learn_a_toy(spark, tmp_path):
     rows = [(i, p, int(p == i % 3), float(p == i % 3) + 0.01 * p, float(i)) for i in range(40) for p in range(3)]
     df = spark.createDataFrame(rows, "impression_id bigint, candidate_position int, label int, useful double, idle double")
     model = M.fit_lambda_trees(df, ["useful", "idle"], trees=2)

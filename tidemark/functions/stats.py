@@ -15,6 +15,21 @@ def two_sided_p(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+def two_sided_tail(z):
+    """``two_sided_p`` of a column: below 2 (of the error function's argument) the series of
+    the error function, whose terms are all positive, beyond it the continued fraction."""
+    from pyspark.sql import functions as F
+
+    x = F.abs(z) / math.sqrt(2)
+    bell = F.exp(-x * x)
+    steps = F.sequence(F.lit(1), F.lit(80))
+    start = F.struct(x.alias("term"), x.alias("sum"))
+    add = lambda s, k: F.struct((s["term"] * 2 * x * x / (2 * k + 1)).alias("term"), (s["sum"] + s["term"] * 2 * x * x / (2 * k + 1)).alias("sum"))
+    near = 1 - 2 / math.sqrt(math.pi) * bell * F.aggregate(steps, start, add, lambda s: s["sum"])
+    fraction = F.aggregate(F.reverse(steps), x, lambda f, k: x + k / 2.0 / f)
+    return F.when(x < 2, near).otherwise(bell / math.sqrt(math.pi) / fraction)
+
+
 def chi_square_tail(x: float, df: int) -> float:
     """P(X >= x) for a whole number of degrees of freedom, in closed form."""
     if x <= 0:

@@ -1,12 +1,15 @@
 """The five product-analytics tables over analytics candidates.
 
 Each is one pass over its input: branches that read as unions are one aggregation and an
-unpivot, or one explode of labelled values before one grouping.
+unpivot, or one explode of labelled values before one grouping. Distinct counts are steps of
+plain groupings, by impression and user first, then by user: every step keeps counts that add
+up, and no row is multiplied for them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -14,23 +17,32 @@ def _ratio(a: Column, b: Column) -> Column:
     return a.cast("double") / F.nullif(b, F.lit(0)).cast("double")
 
 
+def exposure_totals(candidates: DataFrame) -> DataFrame:
+    """One row: distinct ``impressions`` and ``users``, ``candidates``, ``clicks`` and
+    ``mean_candidates``. An impression with several users counts once, for its first."""
+    own = candidates.groupBy("impression_id", "user_id").agg(
+        F.count("*").alias("n"), F.sum("label").alias("clicks"), F.sum(F.col("candidate_count").cast("double")).alias("slates"), F.count("candidate_count").alias("sized")
+    )
+    once = (F.row_number().over(W.partitionBy("impression_id").orderBy("user_id")) == 1) & F.col("impression_id").isNotNull()
+    users = own.withColumn("once", once).groupBy("user_id").agg(F.count_if("once").alias("impressions"), *[F.sum(c).alias(c) for c in ("n", "clicks", "slates", "sized")])
+    return users.agg(
+        F.coalesce(F.sum("impressions"), F.lit(0)).alias("impressions"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("candidates"),
+        F.sum("clicks").cast("bigint").alias("clicks"),
+        F.count("user_id").alias("users"),
+        (F.sum("slates") / F.nullif(F.sum("sized"), F.lit(0))).alias("mean_candidates"),
+    )
+
+
 def kpi_summary(candidates: DataFrame) -> DataFrame:
     """One row: impressions, candidates, clicks, ctr, active users, mean slate size."""
-    totals = candidates.agg(
-        F.count_distinct("impression_id").alias("impressions"),
-        F.count("*").alias("candidates"),
-        F.sum("label").cast("bigint").alias("clicks"),
-        F.count_distinct("user_id").alias("active_users"),
-        F.avg("candidate_count").alias("mean_candidates"),
-    )
-    return totals.select("impressions", "candidates", "clicks", _ratio(F.col("clicks"), F.col("candidates")).alias("ctr"), "active_users", "mean_candidates")
+    totals = exposure_totals(candidates)
+    return totals.select("impressions", "candidates", "clicks", _ratio(F.col("clicks"), F.col("candidates")).alias("ctr"), F.col("users").alias("active_users"), "mean_candidates")
 
 
 def exposure_funnel(candidates: DataFrame) -> DataFrame:
     """Users, impressions, candidates and clicks, each with its rate from the stage before."""
-    totals = candidates.agg(
-        F.count_distinct("user_id").alias("users"), F.count_distinct("impression_id").alias("impressions"), F.count("*").alias("candidates"), F.sum("label").cast("bigint").alias("clicks")
-    )
+    totals = exposure_totals(candidates)
     steps = [("active_users", "users", None), ("impressions", "impressions", "users"), ("candidates", "candidates", "impressions"), ("clicks", "clicks", "candidates")]
     stages = F.array(
         *[F.struct(F.lit(name).alias("stage"), F.col(c).alias("units"), (F.lit(1.0) if before is None else _ratio(F.col(c), F.col(before))).alias("rate_from_previous")) for name, c, before in steps]
@@ -52,18 +64,24 @@ def freshness_bucket(days: Column) -> Column:
 
 def segment_kpis(candidates: DataFrame, *, min_cell_count: int | None = None) -> DataFrame:
     """Impressions, candidates, clicks and ctr by device, position, slate size, history and
-    freshness; ``low_support`` with ``min_cell_count``. One scan: every row is a row of five
-    cells, which are counted by cell and impression before the shuffle."""
+    freshness; ``low_support`` with ``min_cell_count``. One scan: rows are added up by
+    impression, by position apart from the other four, whose values an impression's rows
+    mostly share; only those sums are turned into cells."""
     values = {
         "device_type": F.coalesce(F.col("device_type").cast("string"), F.lit("unknown")),
-        "candidate_position": F.col("candidate_position").cast("string"),
         "candidate_count": count_bucket(F.col("candidate_count")),
         "history_length": history_bucket(F.col("history_length")),
         "freshness": freshness_bucket(F.col("article_age_days")),
     }
-    cells = F.explode(F.array(*[F.struct(F.lit(name).alias("segment"), value.alias("value")) for name, value in values.items()]))
-    rows = candidates.select("impression_id", "label", cells.alias("cell")).groupBy("cell.segment", "cell.value", "impression_id").agg(F.count("*").alias("n"), F.sum("label").alias("c"))
-    out = rows.groupBy("segment", "value").agg(F.count("impression_id").alias("units"), F.sum("n").alias("candidates"), F.sum("c").cast("bigint").alias("clicks"))
+    both = F.explode(F.array(F.lit(True), F.lit(False)))
+    rows = candidates.select("impression_id", "label", F.col("candidate_position").alias("position"), *[v.alias(n) for n, v in values.items()]).withColumn("placed", both)
+    apart = rows.select("impression_id", "label", "placed", F.when(F.col("placed"), F.col("position")).alias("position"), *[F.when(~F.col("placed"), F.col(n)).alias(n) for n in values])
+    sums = apart.groupBy("impression_id", "placed", "position", *values).agg(F.count("*").alias("n"), F.sum("label").alias("c"))
+    cell = lambda name, value: F.struct(F.lit(name).alias("segment"), value.alias("value"))
+    place = F.array(cell("candidate_position", F.col("position").cast("string")))
+    cells = F.explode(F.when(F.col("placed"), place).otherwise(F.array(*[cell(n, F.col(n)) for n in values])))
+    units = sums.select("impression_id", "n", "c", cells.alias("x")).groupBy("impression_id", "x.segment", "x.value").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+    out = units.groupBy("segment", "value").agg(F.count("impression_id").alias("units"), F.sum("n").alias("candidates"), F.sum("c").cast("bigint").alias("clicks"))
     out = out.withColumn("ctr", _ratio(F.col("clicks"), F.col("candidates")))
     if min_cell_count is not None:
         out = out.withColumn("low_support", F.col("units") < min_cell_count)
@@ -72,25 +90,44 @@ def segment_kpis(candidates: DataFrame, *, min_cell_count: int | None = None) ->
 
 def data_quality(candidates: DataFrame) -> DataFrame:
     """(metric, numeric_value, text_value): 16 counts, null rates and the time range, from one
-    aggregation of the rows with three distinct counts and one by impression."""
-    null = lambda c: F.count_if(F.col(c).isNull())
-    n = F.count("*")
+    scan: rows are added up by impression, article and user, those sums by impression, and so
+    on, so that what is distinct is a count of groups."""
     rates = ["impression_id", "user_id", "article_id", "impression_time", "published_time", "label"]
-    row_level = candidates.agg(
-        n.alias("candidate_rows"),
-        F.count_distinct("impression_id").alias("impression_rows"),
-        F.count_distinct("user_id").alias("unique_users"),
-        (n - F.count_distinct(F.struct("impression_id", "article_id"))).alias("duplicate_impression_article"),
-        F.count_if(F.col("label").isNull() | ~F.col("label").isin(0, 1)).alias("invalid_label_rows"),
-        null("published_time").alias("missing_article_metadata"),
-        F.count_if(F.col("published_time") > F.col("impression_time")).alias("future_article_rows"),
-        *[(null(c) / F.nullif(n, F.lit(0))).alias(f"null_{c}_rate") for c in rates],
-        F.min("impression_time").cast("string").alias("min_impression_time"),
-        F.max("impression_time").cast("string").alias("max_impression_time"),
+    flags = {
+        "invalid_label_rows": F.col("label").isNull() | ~F.col("label").isin(0, 1),
+        "missing_article_metadata": F.col("published_time").isNull(),
+        "future_article_rows": F.col("published_time") > F.col("impression_time"),
+        **{f"null_{c}_rate": F.col(c).isNull() for c in rates},
+    }
+    ends = {"low": (F.min, "candidate_count"), "high": (F.max, "candidate_count"), "from": (F.min, "impression_time"), "to": (F.max, "impression_time")}
+    own = candidates.groupBy("impression_id", "article_id", "user_id").agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in flags.items()], *[f(c).alias(k) for k, (f, c) in ends.items()])
+    merged = [F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in flags], *[f(k).alias(k) for k, (f, _) in ends.items()]]
+    # Pairs of an impression and an article, null a value of its own, are those that come first
+    # in order; an impression's row counts whatever users it has.
+    slate = W.partitionBy("impression_id")
+    before = F.lag(F.struct("article_id")).over(slate.orderBy("article_id", "user_id"))
+    own = own.withColumn("pair", ~before.eqNullSafe(F.struct("article_id")))
+    users = own.groupBy("impression_id", "user_id").agg(F.count_if("pair").alias("pairs"), *merged)
+    first = F.row_number().over(slate.orderBy("user_id")) == 1
+    whole = [F.sum("n").over(slate).alias("slate_n"), F.min("low").over(slate).alias("slate_low"), F.max("high").over(slate).alias("slate_high"), first.alias("first")]
+    users = users.select("*", *whole)
+    wrong = F.col("first") & ((F.col("slate_n") != F.col("slate_low")) | (F.col("slate_low") != F.col("slate_high")))
+    by_user = users.groupBy("user_id").agg(
+        F.sum("pairs").alias("pairs"), F.count_if(F.col("first") & F.col("impression_id").isNotNull()).alias("impressions"), F.count_if(wrong).alias("wrong"), *merged
+    )
+    total = by_user.agg(F.count("user_id").alias("users"), F.sum("pairs").alias("pairs"), F.sum("impressions").alias("impressions"), F.sum("wrong").alias("wrong"), *merged)
+    none = lambda c: F.coalesce(F.col(c), F.lit(0))
+    both = total.select(
+        none("n").alias("candidate_rows"),
+        none("impressions").alias("impression_rows"),
+        F.col("users").alias("unique_users"),
+        (none("n") - none("pairs")).alias("duplicate_impression_article"),
+        *[none(k).alias(k) for k in flags if not k.endswith("_rate")],
+        *[(F.col(k) / F.nullif(F.col("n"), F.lit(0))).alias(k) for k in flags if k.endswith("_rate")],
+        F.col("from").cast("string").alias("min_impression_time"),
+        F.col("to").cast("string").alias("max_impression_time"),
+        none("wrong").alias("impression_candidate_count_mismatch"),
     )
-    slates = candidates.groupBy("impression_id").agg(F.count("*").alias("n"), F.min("candidate_count").alias("low"), F.max("candidate_count").alias("high"))
-    mismatch = slates.where("n <> low OR low <> high").agg(F.count("*").alias("impression_candidate_count_mismatch"))
-    both = row_level.crossJoin(mismatch)  # one row each
     text = {"min_impression_time", "max_impression_time"}
     cells = [
         F.struct(

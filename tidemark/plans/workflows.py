@@ -104,7 +104,7 @@ def load_split(spark: SparkSession, data: str, *, valid_fraction: float = 0.2) -
     return Split(bundle.articles, bundle.history, train, valid, bundle.source_name)
 
 
-def train_model(spark: SparkSession, data: str, output: str, *, model: str = "logistic", seed: int = 42, text_components: int = 32, valid_fraction: float = 0.2, trees: int = M.TREES) -> dict:
+def train_model(spark: SparkSession, data: str, output: str, *, model: str = "logistic", seed: int = 42, text_components: int = 32, valid_fraction: float = 0.2, trees: int = M.boosting.TREES) -> dict:
     """Fits features and a model, evaluates it on later impressions and publishes the model,
     predictions, metrics, importances and a model card."""
     split = load_split(spark, data, valid_fraction=valid_fraction)
@@ -143,7 +143,7 @@ def _timed(work):
     return work(), time.perf_counter() - began
 
 
-def run_benchmark(spark: SparkSession, data: str, output: str, *, models: list[str], bootstrap_samples: int = 200, seed: int = 42, text_components: int = 32, valid_fraction: float = 0.2, trees: int = M.TREES, draws: str = "numpy") -> list[dict]:
+def run_benchmark(spark: SparkSession, data: str, output: str, *, models: list[str], bootstrap_samples: int = 200, seed: int = 42, text_components: int = 32, valid_fraction: float = 0.2, trees: int = M.boosting.TREES, draws: str = "numpy") -> list[dict]:
     """Compares scorers on the same later impressions: leaderboard, paired bootstrap,
     ablations, segments, diagnostics. All models' scores are one long table, so that metrics
     and bootstrap are one job each."""

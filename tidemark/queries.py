@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import round_columns
 from tidemark.operators import analytics, candidates as C, causal as K, experiments as X, features as E, models as M, ranking as R
+from tidemark.session import stored
 from tidemark.sources import driver_tables as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,8 +30,18 @@ def query(sql: str | None = None):
     return add
 
 
+def logged(spark: SparkSession, folder: str) -> DataFrame:
+    """The candidates as a written table: what reads them several times derives them once."""
+    return stored(D.candidates(spark, folder))
+
+
+def market_panel(spark: SparkSession, folder: str) -> DataFrame:
+    return stored(D.panel(spark, folder))
+
+
 def analytics_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return C.analytics_candidates(D.candidates(spark, folder), D.articles(spark, folder), D.history(spark, folder))
+    rows = logged(spark, folder)
+    return C.analytics_candidates(rows, D.articles(spark, folder), D.history(spark, folder, rows))
 
 
 ROWS = (
@@ -195,7 +207,7 @@ SELECT CASE WHEN impression_time < t THEN 'train' ELSE 'valid' END AS part, coun
 FROM candidates, cut GROUP BY 1"""
 )
 def temporal_split(spark: SparkSession, folder: str) -> DataFrame:
-    train, valid = C.temporal_split(D.candidates(spark, folder), valid_fraction=0.2)
+    train, valid = C.temporal_split(logged(spark, folder), valid_fraction=0.2)
     both = train.withColumn("part", F.lit("train")).unionByName(valid.withColumn("part", F.lit("valid")))
     return both.groupBy("part").agg(
         F.count("*").alias("candidates"), F.count_distinct("impression_id").alias("impressions"), F.min("impression_time").cast("string").alias("first_time"), F.max("impression_time").cast("string").alias("last_time")
@@ -220,14 +232,14 @@ scored AS (
 def scored_models(spark: SparkSession, folder: str) -> DataFrame:
     """The validation rows scored by both baselines. Scores are rounded, so that engines that
     add in another order rank alike."""
-    train, valid = C.temporal_split(D.candidates(spark, folder), valid_fraction=0.2)
-    found = [R.predict_baseline(R.fit_baseline(kind, train), valid).withColumn("model", F.lit(kind)) for kind in ("position", "popularity")]
-    return found[0].unionByName(found[1]).withColumn("score", F.round("score", 9))
+    train, valid = C.temporal_split(logged(spark, folder), valid_fraction=0.2)
+    found = R.predict_baselines([R.fit_baseline(kind, train) for kind in ("position", "popularity")], valid)
+    return found.withColumn("score", F.round("score", 9))
 
 
 @query(SPLIT + """SELECT article_id, round(rate, 6) AS rate FROM rates""")
 def popularity_rates(spark: SparkSession, folder: str) -> DataFrame:
-    train, _ = C.temporal_split(D.candidates(spark, folder), valid_fraction=0.2)
+    train, _ = C.temporal_split(logged(spark, folder), valid_fraction=0.2)
     return R.fit_baseline("popularity", train).rates
 
 
@@ -238,7 +250,9 @@ def popularity_rates(spark: SparkSession, folder: str) -> DataFrame:
 ) WHERE rank <= 3"""
 )
 def top_k_ranking(spark: SparkSession, folder: str) -> DataFrame:
-    return R.rank_candidates(scored_models(spark, folder).where("model = 'popularity'"), top_k=3).select("impression_id", "article_id", "score", "rank")
+    train, valid = C.temporal_split(logged(spark, folder), valid_fraction=0.2)
+    scored = R.predict_baseline(R.fit_baseline("popularity", train), valid).withColumn("score", F.round("score", 9))
+    return R.rank_candidates(scored, top_k=3).select("impression_id", "article_id", "score", "rank")
 
 
 PER_IMPRESSION = (
@@ -289,8 +303,11 @@ SELECT segment, value, count(*) AS impressions, sum(n)::BIGINT AS candidates, co
 FROM cells JOIN per USING (impression_id) WHERE model = 'popularity' GROUP BY 1, 2"""
 )
 def segment_ranking(spark: SparkSession, folder: str) -> DataFrame:
-    lengths = D.history(spark, folder).groupBy("user_id").agg(F.max(F.size("article_id_fixed")).alias("history_length"))
-    rows = scored_models(spark, folder).where("model = 'popularity'").drop("model").join(lengths, "user_id", "left")
+    rows = logged(spark, folder)
+    lengths = D.history(spark, folder, rows).groupBy("user_id").agg(F.max(F.size("article_id_fixed")).alias("history_length"))
+    train, valid = C.temporal_split(rows, valid_fraction=0.2)
+    scored = R.predict_baseline(R.fit_baseline("popularity", train), valid).withColumn("score", F.round("score", 9))
+    rows = scored.join(lengths, "user_id", "left")
     return R.segment_ranking_metrics(rows.withColumn("history_length", F.coalesce("history_length", F.lit(0))))
 
 
@@ -428,8 +445,7 @@ FROM cells c JOIN cells t ON c.value = t.value AND c.variant = 'control' AND t.v
 )
 def segment_effects(spark: SparkSession, folder: str) -> DataFrame:
     keys = ("segment", "value", "units", "control_units", "treatment_units", "low_support", "effect", "standard_error")
-    rows = [tuple(getattr(e, k) for k in keys) for e in X.estimate_segment_effects(D.experiment(spark, folder), RCT)]
-    return spark.createDataFrame(rows, "segment string, value string, units bigint, control_units bigint, treatment_units bigint, low_support boolean, effect double, standard_error double")
+    return X.segment_cells(D.experiment(spark, folder), RCT).select(*keys)
 
 
 _CELL_Z = " ".join(f"WHEN {k} THEN {X.normal_quantile(1 - 0.05 / k / 2)!r}::DOUBLE" for k in range(1, 21))
@@ -453,8 +469,42 @@ SELECT 'segment' AS segment, value, round(p, 6) AS p_value, round(a, 6) AS multi
 def segment_inference(spark: SparkSession, folder: str) -> DataFrame:
     """P-values, Holm's adjustment and Bonferroni intervals of the confirmatory cells."""
     keys = ("segment", "value", "p_value", "multiplicity_alpha", "holm_adjusted_p_value", "significant", "ci_lower", "ci_upper", "interval_method")
-    rows = [tuple(getattr(e, k) for k in keys) for e in X.estimate_segment_effects(D.experiment(spark, folder), RCT)]
-    return spark.createDataFrame(rows, "segment string, value string, p_value double, multiplicity_alpha double, holm_adjusted_p_value double, significant boolean, ci_lower double, ci_upper double, interval_method string")
+    return X.segment_effects(D.experiment(spark, folder), RCT).select(*keys)
+
+
+#: An experiment over order lines: odd orders are treated, every part and line parity a cell.
+LINES = replace(RCT, unit_column="line", primary=X.Metric("click", "binary", "increase"), guardrails=(), cuped_covariate="quantity", pre_treatment_columns=("quantity",), segment_columns=("cell",), confirmatory_segments=("cell",))
+
+
+@query(
+    f"""WITH cells AS (
+  SELECT CAST(l_partkey AS VARCHAR) || '-' || CAST(l_linenumber % 5 AS VARCHAR) AS value, l_orderkey % 2 = 1 AS treated, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS click FROM lineitem
+), arms AS (
+  SELECT value, count(*) FILTER (WHERE NOT treated) AS cn, count(*) FILTER (WHERE treated) AS tn, avg(click) FILTER (WHERE NOT treated) AS cm, avg(click) FILTER (WHERE treated) AS tm,
+    var_samp(click) FILTER (WHERE NOT treated) AS cv, var_samp(click) FILTER (WHERE treated) AS tv FROM cells GROUP BY value
+), effects AS (
+  SELECT value, CASE WHEN least(cn, tn) >= 2 THEN tm - cm END AS effect, CASE WHEN least(cn, tn) >= 2 THEN sqrt(greatest(cv, 0) / cn + greatest(tv, 0) / tn) END AS se, count(*) OVER () AS tests FROM arms
+), tails AS (SELECT *, effect / nullif(se, 0) AS z FROM effects),
+tested AS (SELECT *, round(CASE WHEN se = 0 THEN CASE WHEN effect = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END WHEN z IS NULL THEN NULL ELSE {tail_sql("z")} END, 9) AS p FROM tails),
+placed AS (SELECT *, row_number() OVER (ORDER BY p NULLS LAST, value) - 1 AS k FROM tested),
+stepped AS (
+  SELECT *, 0.05::DOUBLE / (tests - k) AS a, max((tests - k) * p) OVER (ORDER BY k) AS worst,
+    bool_and(coalesce(p <= 0.05::DOUBLE / (tests - k), false)) OVER (ORDER BY k) AS significant FROM placed
+)
+SELECT value, round(p, 6) AS p_value, round(a, 6) AS multiplicity_alpha, round(CASE WHEN p IS NOT NULL THEN least(1, worst) END, 6) AS holm_adjusted_p_value, significant FROM stepped"""
+)
+def holm_by_cell(spark: SparkSession, folder: str) -> DataFrame:
+    """Holm's procedure over thousands of cells. P-values are rounded before they are ranked,
+    so that engines that add in another order rank alike."""
+    lines = D.read(spark, folder, "lineitem").select(
+        F.when(F.col("l_orderkey") % 2 == 1, "treatment").otherwise("control").alias("variant"),
+        (F.col("l_returnflag") == "R").cast("int").alias("click"),
+        F.col("l_quantity").cast("double").alias("quantity"),
+        F.concat(F.col("l_partkey").cast("string"), F.lit("-"), (F.col("l_linenumber") % 5).cast("string")).alias("cell"),
+    )
+    cells = X.segment_cells(lines, LINES).withColumn("p_value", F.round("p_value", 9)).drop("ci_lower", "ci_upper")
+    found = X.holm(cells, LINES.alpha)
+    return found.select("value", "p_value", "multiplicity_alpha", "holm_adjusted_p_value", "significant")
 
 
 @query(
@@ -533,7 +583,7 @@ ROLLOUT = K.CausalConfig(
 )
 def panel_integrity(spark: SparkSession, folder: str) -> DataFrame:
     keys = ("markets", "rows", "total_exposure", "treated_markets", "pre_weeks", "post_weeks", "week_min", "week_max", "missing_market_week_share")
-    found = K.validate_market_panel(D.panel(spark, folder), ROLLOUT)
+    found = K.validate_market_panel(market_panel(spark, folder), ROLLOUT)
     return spark.createDataFrame([tuple(found[k] for k in keys)], ", ".join(f"{k} bigint" for k in keys[:-1]) + ", missing_market_week_share double")
 
 
@@ -547,7 +597,7 @@ SELECT metric, round(t, 6) AS treated_mean, round(c, 6) AS control_mean, round((
   round(abs(t - c) / sqrt(p), 6) AS absolute_standardized_mean_difference, tn AS treated_markets, cn AS control_markets FROM s"""
 )
 def preperiod_balance(spark: SparkSession, folder: str) -> DataFrame:
-    return K.preperiod_balance(D.panel(spark, folder), ROLLOUT)
+    return K.preperiod_balance(market_panel(spark, folder), ROLLOUT)
 
 
 def rollout_sql(rows: str) -> str:
@@ -579,7 +629,7 @@ _INTERVAL = f"round(effect - {_Z}::DOUBLE * se, 6) AS ci_lower, round(effect + {
 FROM (SELECT *, effect / se AS z FROM found)"""
 )
 def did_fixed_effects(spark: SparkSession, folder: str) -> DataFrame:
-    row = K.difference_in_differences(D.panel(spark, folder), ROLLOUT)
+    row = K.difference_in_differences(market_panel(spark, folder), ROLLOUT)
     keys = ("effect", "standard_error", "statistic", "p_value", "ci_lower", "ci_upper")
     return spark.createDataFrame([(row["term"], *(row[k] for k in keys), row["observations"])], "term string, " + ", ".join(f"{k} double" for k in keys) + ", observations bigint")
 
@@ -591,7 +641,7 @@ SELECT round(sum(CASE WHEN g = post THEN rate ELSE -rate END), 6) AS effect, cou
 )
 def did_two_by_two(spark: SparkSession, folder: str) -> DataFrame:
     """The exposure-weighted difference of differences of the four cells."""
-    cells = D.panel(spark, folder).groupBy("treated_market", (F.col("relative_week") >= 0).cast("int").alias("post")).agg((F.sum("clicks") / F.sum("candidate_exposures")).alias("rate"))
+    cells = market_panel(spark, folder).groupBy("treated_market", (F.col("relative_week") >= 0).cast("int").alias("post")).agg((F.sum("clicks") / F.sum("candidate_exposures")).alias("rate"))
     return cells.agg(F.sum(F.when(F.col("treated_market") == F.col("post"), F.col("rate")).otherwise(-F.col("rate"))).alias("effect"), F.count("*").alias("cells"))
 
 
@@ -628,7 +678,7 @@ found AS (
   round(z, 6) AS statistic, round({tail_sql("z")}, 6) AS p_value, {_INTERVAL} FROM (SELECT *, effect / se AS z FROM found)"""
 )
 def event_study(spark: SparkSession, folder: str) -> DataFrame:
-    rows, _ = K.event_study(D.panel(spark, folder), ROLLOUT)
+    rows, _ = K.event_study(market_panel(spark, folder), ROLLOUT)
     keys = ("effect", "standard_error", "statistic", "p_value", "ci_lower", "ci_upper")
     return spark.createDataFrame([(r["relative_week"], r["term"], *(r[k] for k in keys)) for r in rows], "relative_week int, term string, " + ", ".join(f"{k} double" for k in keys))
 
@@ -636,7 +686,7 @@ def event_study(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def pretrend_test(spark: SparkSession, folder: str) -> DataFrame:
     """The joint test of the leads: a matrix inverse, which tests hold against published values."""
-    _, test = K.event_study(D.panel(spark, folder), ROLLOUT)
+    _, test = K.event_study(market_panel(spark, folder), ROLLOUT)
     return spark.createDataFrame([(test["statistic"], test["degrees_of_freedom"], test["p_value"], test["passed"])], "statistic double, degrees_of_freedom int, p_value double, passed boolean")
 
 
@@ -645,7 +695,7 @@ def pretrend_test(spark: SparkSession, folder: str) -> DataFrame:
     + f"""SELECT CAST(1000000 AS BIGINT) AS scale_exposures, round(1000000 * effect, 2) AS incremental_clicks, round(1000000 * (effect - {_Z}::DOUBLE * se), 2) AS ci_lower_clicks, round(1000000 * (effect + {_Z}::DOUBLE * se), 2) AS ci_upper_clicks FROM found"""
 )
 def rollout_impact(spark: SparkSession, folder: str) -> DataFrame:
-    found = K.business_impact(K.difference_in_differences(D.panel(spark, folder), ROLLOUT), ROLLOUT)
+    found = K.business_impact(K.difference_in_differences(market_panel(spark, folder), ROLLOUT), ROLLOUT)
     clicks = ("incremental_clicks", "ci_lower_clicks", "ci_upper_clicks")
     rows = spark.createDataFrame([(found["scale_exposures"], *(found[k] for k in clicks))], "scale_exposures bigint, " + ", ".join(f"{k} double" for k in clicks))
     return rows.select("scale_exposures", *[F.round(k, 2).alias(k) for k in clicks])
@@ -654,7 +704,7 @@ def rollout_impact(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def rollout_decision(spark: SparkSession, folder: str) -> DataFrame:
     """Needs the joint test of the leads, see ``pretrend_test``."""
-    return spark.createDataFrame([(K.evaluate_causal_decision(K.analyze_panel(D.panel(spark, folder), ROLLOUT), ROLLOUT).value,)], "status string")
+    return spark.createDataFrame([(K.evaluate_causal_decision(K.analyze_panel(market_panel(spark, folder), ROLLOUT), ROLLOUT).value,)], "status string")
 
 
 @query(
@@ -662,13 +712,14 @@ def rollout_decision(spark: SparkSession, folder: str) -> DataFrame:
     + f"""SELECT round(effect, 6) AS effect, round(se, 6) AS standard_error, {_INTERVAL}, effect - {_Z}::DOUBLE * se <= 0 AND effect + {_Z}::DOUBLE * se >= 0 AS passed FROM found"""
 )
 def placebo_rollout(spark: SparkSession, folder: str) -> DataFrame:
-    row, test = K.placebo(D.panel(spark, folder), ROLLOUT)
+    row, test = K.placebo(market_panel(spark, folder), ROLLOUT)
     return spark.createDataFrame([(row["effect"], row["standard_error"], row["ci_lower"], row["ci_upper"], test["passed"])], "effect double, standard_error double, ci_lower double, ci_upper double, passed boolean")
 
 
 def fitted_features(spark: SparkSession, folder: str, *, semantic: bool = True) -> tuple[E.FeatureBuilder, DataFrame, DataFrame]:
-    train, valid = C.temporal_split(D.candidates(spark, folder), valid_fraction=0.2)
-    return E.FeatureBuilder(n_components=8, semantic=semantic).fit(D.articles(spark, folder), D.history(spark, folder), train), train, valid
+    rows = logged(spark, folder)
+    train, valid = C.temporal_split(rows, valid_fraction=0.2)
+    return E.FeatureBuilder(n_components=8, semantic=semantic).fit(D.articles(spark, folder), D.history(spark, folder, rows), train), train, valid
 
 
 _STRUCTURED = [n for g in ("context", "article", "personalization") for n in E.GROUPS[g]]
@@ -701,6 +752,61 @@ def structured_features(spark: SparkSession, folder: str) -> DataFrame:
     return builder.transform(valid).select("impression_id", "article_id", *_STRUCTURED)
 
 
+_SPOILT = """, spoilt AS (
+  SELECT * EXCLUDE (device_type), CASE WHEN impression_id % 11 <> 0 THEN (impression_id % 7)::DOUBLE END AS device, CASE WHEN impression_id % 13 <> 0 THEN impression_id % 3 = 0 END AS sso,
+    CASE impression_id % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN ' no ' WHEN 2 THEN '1' ELSE 'maybe' END AS subscriber, (CASE WHEN article_id % 17 <> 0 THEN article_id % 100 END)::DOUBLE / 100 AS sentiment FROM candidates
+), raw AS (
+  SELECT impression_id, article_id, impression_time, device AS device_type, CASE WHEN sso THEN 1.0::DOUBLE WHEN NOT sso THEN 0.0::DOUBLE END AS is_sso_user,
+    CASE WHEN lower(trim(subscriber)) IN ('yes', '1') THEN 1.0::DOUBLE WHEN lower(trim(subscriber)) = 'no' THEN 0.0::DOUBLE END AS is_subscriber, sentiment AS sentiment_score,
+    length(title)::DOUBLE AS title_length, candidate_position::DOUBLE AS candidate_position, greatest((epoch_us(impression_time) - epoch_us(published_time))::DOUBLE / 3600000000.0::DOUBLE, 0) AS publication_age_hours
+  FROM spoilt JOIN articles USING (article_id)
+)"""
+
+_FILLED = ["device_type", "is_sso_user", "is_subscriber", "sentiment_score", "title_length", "candidate_position", "publication_age_hours"]
+
+
+def spoilt_features(spark: SparkSession, folder: str) -> tuple[E.FeatureBuilder, DataFrame]:
+    """Features of a log whose device, flags and sentiment are partly missing or words."""
+    rows = logged(spark, folder)
+    key = F.col("impression_id") % 4
+    spoilt = rows.withColumns(
+        {
+            "device_type": F.when(F.col("impression_id") % 11 != 0, (F.col("impression_id") % 7).cast("string")),
+            "is_sso_user": F.when(F.col("impression_id") % 13 != 0, F.col("impression_id") % 3 == 0),
+            "is_subscriber": F.when(key == 0, "Yes").when(key == 1, " no ").when(key == 2, "1").otherwise("maybe"),
+        }
+    )
+    articles = D.articles(spark, folder).withColumn("sentiment_score", F.when(F.col("article_id") % 17 != 0, (F.col("article_id") % 100) / 100.0))
+    train, valid = C.temporal_split(spoilt, valid_fraction=0.2)
+    return E.FeatureBuilder(n_components=8, semantic=False).fit(articles, D.history(spark, folder, rows), train), valid
+
+
+@query(
+    SPLIT
+    + _SPOILT
+    + """, medians AS (SELECT """
+    + ", ".join(f"median({c}) AS m_{c}" for c in _FILLED)
+    + """ FROM raw, cut WHERE impression_time < t)
+SELECT impression_id, article_id, """
+    + ", ".join(f"round(coalesce({c}, m_{c}), 6) AS {c}" for c in _FILLED)
+    + """ FROM raw, cut, medians WHERE impression_time >= t"""
+)
+def imputed_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Missing values filled by the medians of the training rows."""
+    builder, valid = spoilt_features(spark, folder)
+    return builder.transform(valid).select("impression_id", "article_id", *_FILLED)
+
+
+@query(
+    SPLIT
+    + _SPOILT
+    + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(median({c}), 6) AS median FROM raw, cut WHERE impression_time < t" for c in _FILLED)
+)
+def training_medians(spark: SparkSession, folder: str) -> DataFrame:
+    builder, _ = spoilt_features(spark, folder)
+    return spark.createDataFrame([(c, float(builder.medians[c])) for c in _FILLED], "feature string, median double")
+
+
 @query()
 def semantic_features(spark: SparkSession, folder: str) -> DataFrame:
     """The text similarities come from an iterated factorization, which SQL cannot say."""
@@ -714,3 +820,12 @@ def logistic_ranking(spark: SparkSession, folder: str) -> DataFrame:
     builder, train, valid = fitted_features(spark, folder)
     model = M.fit_logistic(builder.transform(train), E.NAMES)
     return R.ranking_metrics(model.score(builder.transform(valid)))
+
+
+@query()
+def lambda_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    """Boosted trees, which SQL cannot say; tests hold them against a plain learner, and their
+    quality against the published one."""
+    builder, train, valid = fitted_features(spark, folder, semantic=False)
+    model = M.fit_lambda_trees(stored(builder.transform(train)), _STRUCTURED, trees=40)
+    return R.ranking_metrics(model.score(builder.transform(valid)))

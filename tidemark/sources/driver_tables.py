@@ -70,9 +70,10 @@ def behaviors(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def history(spark: SparkSession, folder: str) -> DataFrame:
-    """What every customer had ordered before 1999, oldest first."""
-    earlier = candidates(spark, folder).where(F.col("impression_time") < F.expr("TIMESTAMP_NTZ '1999-01-01 00:00:00'"))
+def history(spark: SparkSession, folder: str, rows: DataFrame | None = None) -> DataFrame:
+    """What every customer had ordered before 1999, oldest first. ``rows`` are the candidates,
+    if they are at hand."""
+    earlier = (candidates(spark, folder) if rows is None else rows).where(F.col("impression_time") < F.expr("TIMESTAMP_NTZ '1999-01-01 00:00:00'"))
     rows = earlier.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("impression_time", "impression_id", "candidate_position", "article_id"))).alias("seen"))
     return rows.select("user_id", F.col("seen.article_id").alias("article_id_fixed"), F.col("seen.impression_time").alias("impression_time_fixed"))
 
