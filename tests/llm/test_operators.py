@@ -8,10 +8,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from tidemark.llm import decontaminate, language, linededup, media, packing, preference, quality, sharding, simhash, toxicity
+from tidemark.llm import common, decontaminate, language, linededup, media, packing, preference, quality, sharding, simhash, toxicity
 from tidemark.llm.queries import bpe_path
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -98,6 +99,41 @@ def test_contamination_longest_match(spark):
     assert (row["n_hit"], row["longest_match"], row["longest_at"]) == (29, 17, 2)
 
 
+def doubled(times):
+    """Two different words that sums of bytes times powers, modulo 2^64, cannot tell apart."""
+    a, b = "a", "b"
+    for _ in range(times):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("times", [3, 10, 11, 12])
+def test_contamination_compares_words_themselves(spark, times):
+    a, b = doubled(times)
+    docs = spark.createDataFrame([(1, f"x {a} y"), (2, f"x {b} y"), (3, f"{a} {b}")], "doc_id bigint, text string")
+    for items, hit in (([(1, a)], {1: 1, 2: 0, 3: 1}), ([(1, a), (2, b)], {1: 1, 2: 1, 3: 2}), ([(1, f"{b} y")], {1: 0, 2: 2, 3: 0})):
+        found = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id bigint, text string"))
+        assert {r["doc_id"]: r["n_hit"] for r in found.collect()} == hit
+
+
+@pytest.mark.parametrize("length", [1, 7, 8, 9, 15, 16, 17, 31, 64, 65, 200])
+def test_words_at_the_edge_of_a_slice_have_one_number(length):
+    """A word has the same number alone, at its text's end and before other text."""
+    word = ("q" * length).encode()
+    words = decontaminate.Vocabulary([b"r" * length, word, word + b"q"])
+    for text, want in ((word, [1]), (b"abc " + word, [-1, 1]), (word + b" abc " + word + b"Q ", [1, -1, 2]), (b"x" * 16 + b" " + word + b" ", [0 if (b"x" * 16) == b"r" * length else -1, 1])):
+        for size in (16, 1 << 20):
+            assert decontaminate.numbered(pa.array([text.decode()]), words, size)[0].tolist() == want
+
+
+def test_long_hash_is_the_hash_of_a_span(monkeypatch):
+    data = np.random.default_rng(1).integers(0, 256, 3000).astype(np.uint8)
+    want = common.span_hashes(data, np.array([0]), np.array([3000]))[0]
+    assert common.long_hash(data) == want
+    monkeypatch.setattr(common, "PASS_BYTES", 700)
+    assert common.long_hash(data) == want
+
+
 def test_contamination_empty_tables(empty, docs, benchmark, spark):
     assert decontaminate.contamination(empty, benchmark[0]).count() == 0
     none = spark.createDataFrame([], "item_id bigint, text string")

@@ -214,7 +214,8 @@ BYTE_VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * _ODD)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of every span, the same wherever the span stands."""
+    """A 64-bit hash of the bytes of every span, the same wherever the span stands. Texts can
+    be made whose spans have equal hashes: where that may not be, compare the bytes."""
     n = len(data)
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
@@ -225,6 +226,18 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mixed(value + (ends - starts).astype(np.uint64))
 
 
+def long_hash(data: np.ndarray) -> np.uint64:
+    """``span_hashes`` of one span of any length, which is all of ``data``, part by part."""
+    value, shift = np.uint64(0), np.uint64(1)
+    with np.errstate(over="ignore"):
+        for a in range(0, len(data), PASS_BYTES):
+            part = data[a : a + PASS_BYTES]
+            powers = _powers("odd", _ODD, len(part))
+            value = value + shift * (BYTE_VALUE[part] * powers).sum(dtype=np.uint64)
+            shift = shift * powers[-1] * _ODD
+        return mixed(np.array([value + np.uint64(len(data))]))[0]
+
+
 def gram_buckets(data: np.ndarray, order: int, bits: int) -> np.ndarray:
     """A bucket of ``bits`` bits for the ``order`` bytes from each place of ``data`` on; as
     many as there are such places. Orders up to 7."""

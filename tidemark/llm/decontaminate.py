@@ -1,8 +1,8 @@
 """Benchmark decontamination with suffix arrays over shards of the training text.
 
 Every task turns its texts into shards of a bounded number of words. The words of a shard
-become numbers of the benchmark's vocabulary; a word outside it cannot be in any match, so
-it only ends one. A suffix array of what is left is built by prefix doubling, and every
+become numbers of the benchmark's vocabulary, found by hash and compared byte by byte; a
+word outside it cannot be in any match, so it only ends one. A suffix array of what is left is built by prefix doubling, and every
 suffix of every test item is searched in it by binary search, one more word at a time, for
 all of them at once, up to the length of a window. The ranges found give the places of every
 window. In the rows that have any, a second suffix array, over the covered words and the
@@ -26,17 +26,17 @@ replaces.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import LOWER_BYTE, SLICE_BYTES, cuts, kept_columns, map_batches, passes, runs, span_hashes, text_bytes, written
+from tidemark.llm.common import LOWER_BYTE, SLICE_BYTES, cuts, kept_columns, long_hash, map_batches, passes, runs, span_hashes, text_bytes, written
 
 WINDOW = 10
 
@@ -46,12 +46,14 @@ BLOCK_BYTES = 8 << 20
 #: Words of a shard, about, and of the stretches in which a longest match is measured.
 SHARD_WORDS = 1 << 18
 
-#: Rows of hits that may be broadcast.
-BROADCAST_ROWS = 100_000
+#: Spans and items (some 16 bytes each) of hits that may be broadcast.
+BROADCAST_ENTRIES = 500_000
 
 _WORD_BYTE = np.zeros(256, dtype=bool)
 _WORD_BYTE[0x30:0x3A] = _WORD_BYTE[0x41:0x5B] = _WORD_BYTE[0x61:0x7B] = _WORD_BYTE[0x80:] = True
 
+_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
 _SPANS = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 
 #: What a pass finds: spans of covered words, items, longest match and its place.
@@ -66,26 +68,73 @@ FOUND = [
 RESULT = ["n_words", "n_hit", "items", "longest_match", "longest_at"]
 
 
-def words_of(texts: pa.Array, size: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, first): the hashes of all words, and the first word of every row. A single
-    long row is read slice by slice; a word longer than a slice has another kind of hash."""
+class Vocabulary:
+    """Different words, numbered. A word is found by a hash and then compared byte by byte, so
+    that words of equal hash are told apart."""
+
+    def __init__(self, words: list[bytes]):
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
+        self.data = np.frombuffer(b"".join(words), dtype=np.uint8)
+        hashes = span_hashes(self.data, self.starts, self.ends)
+        self.number = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[self.number]
+        self.most = int(np.unique(hashes, return_counts=True)[1].max(initial=0))  # words of one hash
+
+    def numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The number of the word in each span of ``data``, -1 for one that is not known."""
+        out = np.full(len(starts), -1, dtype=np.int32)
+        near = np.searchsorted(self.hashes, hashes)
+        for k in range(self.most):
+            at = np.minimum(near + k, len(self.hashes) - 1)
+            same = np.flatnonzero((self.hashes[at] == hashes) & (near + k < len(self.hashes)) & (out < 0))
+            word = self.number[at[same]]
+            fine = equal_spans(data, starts[same], ends[same], self.data, self.starts[word], self.ends[word])
+            out[same[fine]] = word[fine]
+        return out
+
+
+def equal_spans(x: np.ndarray, a: np.ndarray, b: np.ndarray, y: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Whether the bytes ``x[a:b]`` and ``y[c:d]`` are equal, for every pair of spans."""
+    size = b - a
+    equal = size == d - c
+    for k in np.flatnonzero(equal & (size > 64)).tolist():
+        equal[k] = np.array_equal(x[a[k] : b[k]], y[c[k] : d[k]])
+    # Eight bytes at a time, as numbers that may begin at any byte.
+    padded = [np.concatenate([z, np.zeros(8, dtype=np.uint8)]) for z in (x, y)]
+    eights = [np.ndarray(len(z) - 7, dtype="<u8", buffer=z, strides=(1,)) for z in padded]
+    left = np.flatnonzero(equal & (size <= 64))
+    for at in range(0, 64, 8):
+        left = left[equal[left] & (size[left] > at)]
+        if not len(left):
+            break
+        unused = np.uint64(8) * np.maximum(0, 8 - (size[left] - at)).astype(np.uint64)
+        p, q = (z[s[left] + at] << unused for z, s in zip(eights, (a, c)))
+        equal[left] = p == q
+    return equal
+
+
+def numbered(texts: pa.Array, vocabulary: Vocabulary, size: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, first): the vocabulary's numbers of all words, and the first word of every
+    row. A single long row is read slice by slice, a word is always whole."""
     data, offsets = text_bytes(texts)
     if len(texts) > 1 or len(data) <= size:
-        return _words(data, offsets)
-    parts = []
-    for a, b in cuts(data, size, ~_WORD_BYTE, whole=True):
-        if b - a > size:
-            parts.append(np.array([xxhash.xxh64_intdigest(LOWER_BYTE[data[a:b][_WORD_BYTE[data[a:b]]]].tobytes())], dtype=np.uint64))
-        else:
-            parts.append(_words(data[a:b], np.array([0, b - a]))[0])
-    hashes = np.concatenate(parts)
-    return hashes, np.array([0, len(hashes)])
-
-
-def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _numbered(data, offsets, vocabulary)
+    parts = [_numbered(data[a:b], np.array([0, b - a]), vocabulary)[0] for a, b in cuts(data, size, ~_WORD_BYTE, whole=True)]
+    numbers = np.concatenate(parts)
+    return numbers, np.array([0, len(numbers)])
+
+
+def _numbered(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     data = LOWER_BYTE[data]
     starts, ends = runs(_WORD_BYTE[data], offsets)
-    return span_hashes(data, starts, ends), np.searchsorted(starts, offsets)
+    first = np.searchsorted(starts, offsets)
+    if not len(vocabulary.starts):
+        return np.full(len(starts), -1, dtype=np.int32), first
+    alone = len(starts) == 1 and ends[0] - starts[0] > SLICE_BYTES
+    hashes = np.array([long_hash(data[starts[0] : ends[0]])]) if alone else span_hashes(data, starts, ends)
+    return vocabulary.numbers(data, starts, ends, hashes), first
 
 
 @dataclass
@@ -98,7 +147,7 @@ class Tests:
     items' words, -1 behind each.
     """
 
-    vocabulary: np.ndarray
+    vocabulary: Vocabulary
     prefix: np.ndarray
     size: np.ndarray
     first: np.ndarray
@@ -113,9 +162,10 @@ class Tests:
 
 
 def tests_of(rows: list[tuple], window: int = WINDOW) -> Tests:
-    parts = [words_of(pa.array([text], pa.string()))[0] for _, text in rows]
+    parts = [_WORD.findall(text.encode().lower()) for _, text in rows]
     counts = np.array([len(p) for p in parts], dtype=np.int64)
-    vocabulary, number = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_inverse=True)
+    known: dict[bytes, int] = {}
+    number = np.array([known.setdefault(w, len(known)) for p in parts for w in p], dtype=np.int64)
     n = len(number)
     item = np.repeat(np.arange(len(rows)), counts)
     start = np.cumsum(counts + 1) - (counts + 1)
@@ -133,7 +183,7 @@ def tests_of(rows: list[tuple], window: int = WINDOW) -> Tests:
     which = which.reshape(-1)
     pairs = np.unique(np.stack([which, item], axis=1), axis=0) if n else np.zeros((0, 2), dtype=np.int64)
     first = np.searchsorted(pairs[:, 0], np.arange(len(prefix) + 1))
-    return Tests(vocabulary, prefix[:, :window].astype(np.int64), prefix[:, window].astype(np.int64), first, pairs[:, 1], [None if i is None else str(i) for i, _ in rows], text, start)
+    return Tests(Vocabulary(list(known)), prefix[:, :window].astype(np.int64), prefix[:, window].astype(np.int64), first, pairs[:, 1], [None if i is None else str(i) for i, _ in rows], text, start)
 
 
 def suffix_array(text: np.ndarray, levels: list[np.ndarray] | None = None) -> np.ndarray:
@@ -266,13 +316,8 @@ def _shards(starts: np.ndarray, ends: np.ndarray, most: int):
 
 def shard_result(texts: pa.Array, tests: Tests, most: int = SHARD_WORDS) -> list[pa.Array]:
     """The columns of ``FOUND`` for some texts."""
-    hashes, first = words_of(texts)
-    n, words = len(texts), len(hashes)
-    number = np.full(words, -1, dtype=np.int32)
-    if len(tests.vocabulary):
-        near = np.minimum(np.searchsorted(tests.vocabulary, hashes), len(tests.vocabulary) - 1)
-        number = np.where(tests.vocabulary[near] == hashes, near, -1).astype(np.int32)
-        del near
+    number, first = numbered(texts, tests.vocabulary)
+    n, words = len(texts), len(number)
     starts, ends = runs(number >= 0, first)
     long = ends - starts >= max(1, tests.shortest)
     starts, ends = _stretches(starts[long], ends[long], most, tests.prefix.shape[1] - 1)
@@ -376,7 +421,8 @@ def _with_more(found: DataFrame, more: DataFrame) -> DataFrame:
     best = F.max(F.struct("longest_match", (-F.col("longest_at")).alias("before"))).alias("__best")
     merged = written(more.groupBy("__a", "__b").agg(F.flatten(F.collect_list("__cover")).alias("__spans"), F.flatten(F.collect_list("items")).alias("__items"), best))  # a row for each block at most
     keyed = found.select("*", *_keys())
-    joined = keyed.join(F.broadcast(merged) if merged.count() <= BROADCAST_ROWS else merged, ["__a", "__b"], "left")
+    entries = merged.agg(F.sum(F.size("__spans") + F.size("__items") + 4)).first()[0] or 0
+    joined = keyed.join(F.broadcast(merged) if entries <= BROADCAST_ENTRIES else merged, ["__a", "__b"], "left")
     own = F.struct("longest_match", (-F.col("longest_at")).alias("before"))
     best = F.greatest(own, F.coalesce("__best", own))
     return joined.withColumns(
