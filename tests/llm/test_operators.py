@@ -359,6 +359,25 @@ def test_pack_plan(seed):
     assert plan.sequences >= -(-sum(filled.values()) // capacity) and plan.sequences >= sum(2 * x > capacity for x in large)
 
 
+@pytest.mark.parametrize("size", [40, 300, 5000])
+def test_scores_of_slices_are_those_of_the_whole(monkeypatch, size):
+    """Quality, language and toxicity of long texts do not depend on where slices end."""
+    r = random.Random(4)
+    texts = [sentence(r, 400) + "\n\n  " + "x" * 900 + " same same " + sentence(r, 30), " " * 700 + sentence(r, 200), "é日" * 400, "y" * 3000, "a b", None, ""]
+    rows = pa.array(texts, pa.string())
+    sample = [(k % 2, sentence(r, 40) + (" worthlessness" if k % 2 else "")) for k in range(80)]
+    grades, tongues, tox = quality.train(sample), language.train([(("en", "de", "fr")[k % 3], sentence(r, 40)) for k in range(30)]), toxicity.train(sample)
+    compressors = tox.pair.compressors()
+    run = lambda: (grades.scores(rows), tongues.predict(rows), tox.scores(rows, compressors), [toxicity.windows(p, toxicity.WINDOW, f, e)[1][:, 1].tolist() for _, p, f, e in toxicity.slices(rows.slice(0, 1))])
+    whole = run()
+    for module in (common, toxicity):
+        monkeypatch.setattr(module, "SLICE_BYTES", size)
+    parts = run()
+    assert np.allclose(whole[0], parts[0], atol=1e-9) and whole[1][0] == parts[1][0] and np.allclose(whole[1][1], parts[1][1], atol=1e-9)
+    assert np.array_equal(whole[2], parts[2]) and sum(whole[3], []) == sum(parts[3], [])
+    assert size > 4000 or len(parts[3]) > 1
+
+
 # 5 -----------------------------------------------------------------------------------
 
 
@@ -381,7 +400,7 @@ def test_sharding(docs, empty, tmp_path, spark):
 def test_sharding_numbers_hot_short_texts_in_parts(spark, hot, monkeypatch):
     monkeypatch.setattr(sharding, "UNIT_ROWS", 100)
     r = random.Random(9)
-    rows = [(k, sentence(r, 120)) for k in range(400)] + [(k, hot) for k in range(400, 1600)]  # under half a shard
+    rows = [(k, sentence(r, 40)) for k in range(400)] + [(k, hot) for k in range(400, 1600)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
     found = sharding.assigned(docs).toPandas()
     for _, g in found.groupby("shard"):
@@ -394,6 +413,21 @@ def test_sharding_numbers_hot_short_texts_in_parts(spark, hot, monkeypatch):
     assert parts.agg({"count": "max"}).first()[0] < 200
 
 
+@pytest.mark.parametrize(("share", "most"), [(0.4, 1), (0.67, 1), (0.95, 1), (1.1, 2), (2.5, 3)])
+def test_copies_share_a_shard_that_can_hold_them(spark, share, most):
+    """Copies of one text, of a ``share`` of an equal part of all bytes."""
+    r = random.Random(3)
+    rest = [sentence(r, r.randint(20, 60)) for _ in range(1500)]
+    text = sentence(r, 12)
+    bytes_ = sum(len(t.encode()) + 1 for t in rest)
+    copies = round(share * bytes_ / (16 - share) / (len(text.encode()) + 1))
+    rows = [(k, t) for k, t in enumerate([*rest, *[text] * copies])]
+    found = sharding.assigned(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).toPandas()
+    assert found[found.doc_id >= 1500].shard.nunique() == most
+    loads = found.groupby("shard")["size"].sum()
+    assert len(loads) == 16 and loads.max() / loads.mean() < 1.06 and loads.min() / loads.mean() > 0.94
+
+
 def test_sharding_is_even_with_a_hot_text(spark):
     r = random.Random(9)
     rows = [(k, sentence(r, r.randint(1, 60))) for k in range(1500)] + [(k, "the same text again and again") for k in range(1500, 3000)]

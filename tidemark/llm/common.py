@@ -122,21 +122,33 @@ def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, pa.Array]]:
-    """(row of every part, parts): all rows up to ``size`` bytes at once, then every longer
-    row in slices of its own, so that no numpy pass is larger than a slice. A slice ends
-    behind the last white space in it, or at the last whole character where it has none;
-    cuts depend on the row's text alone."""
+def seamed(texts: pa.Array, reach: int, size: int | None = None) -> Iterator[tuple[np.ndarray, pa.Array, int]]:
+    """(row of every part, parts, sign): all rows up to ``size`` bytes at once, then every
+    longer row in slices, so that no numpy pass is much larger than a slice. For what is
+    added up over bytes, words and their neighbours within ``reach`` bytes or one word, the
+    signed sum over the parts is that of the whole text: every slice begins with the last
+    words of the one before, which are then taken off again."""
+    size = SLICE_BYTES if size is None else size
     texts = pc.fill_null(texts, "")
     long = pc.binary_length(texts).to_numpy(zero_copy_only=False) > size
     if not long.all():
         short = np.flatnonzero(~long)
-        yield short, texts if not long.any() else texts.take(pa.array(short))
+        yield short, texts if not long.any() else texts.take(pa.array(short)), 1
+    one = lambda part: pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, len(part)], dtype=np.int64)), pa.py_buffer(np.ascontiguousarray(part)))
     for row in np.flatnonzero(long).tolist():
         data, _ = text_bytes(texts.slice(row, 1))
-        for a, b in cuts(data, size):
-            offsets = np.array([0, b - a], dtype=np.int64)
-            yield np.array([row]), pa.LargeStringArray.from_buffers(1, pa.py_buffer(offsets), pa.py_buffer(data[a:b]))
+        held = 0
+        for a, b in cuts(data, size, whole=True):
+            yield np.array([row]), one(data[held:b]), 1
+            if held < a:
+                yield np.array([row]), one(data[held:a]), -1
+            # From the start of the last word that ends ``reach`` bytes before the cut or earlier.
+            word = b - reach
+            while word > a and SPACE_BYTE[data[word - 1]]:
+                word -= 1
+            while word > a and not SPACE_BYTE[data[word - 1]]:
+                word -= 1
+            held = max(a, word)
 
 
 def cuts(data: np.ndarray, size: int = SLICE_BYTES, stop: np.ndarray = SPACE_BYTE, *, whole: bool = False) -> Iterator[tuple[int, int]]:

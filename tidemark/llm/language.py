@@ -4,7 +4,7 @@ First the family of the language, then, inside the family, one-versus-one linear
 vector machines between its languages. Features are hashed byte n-grams and words, A-Z
 lower-cased; the machines are trained in numpy by averaged stochastic subgradient steps on
 a bounded sample. All machines fold into one table with a row for each, so scoring is one
-pass over a text; texts over ``SLICE_BYTES`` are read in slices that end at white space.
+pass over a text; texts over ``SLICE_BYTES`` are read in slices whose sums are those of the whole text.
 The model grows with the number of languages, none of which is left out.
 
 Defined cases: a null text, or one without a letter (Unicode category L), is ``und`` with
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import LOWER_BYTE, gram_buckets, gram_rows, labelled_texts, map_batches, passes, row_sums, runs, slices, span_hashes, text_bytes
+from tidemark.llm.common import LOWER_BYTE, gram_buckets, gram_rows, labelled_texts, map_batches, passes, row_sums, runs, seamed, span_hashes, text_bytes
 
 BITS, ORDERS, EPOCHS, PENALTY = 16, (3,), 20, 1e-4
 
@@ -73,7 +73,7 @@ def features(texts: pa.Array, bits: int = BITS, orders: tuple[int, ...] = ORDERS
 
 def has_letter(texts: pa.Array) -> np.ndarray:
     found = np.zeros(len(texts), dtype=bool)
-    for row, part in slices(texts):
+    for row, part, _ in seamed(texts, 0):
         data, offsets = text_bytes(part)
         here = row_sums(_LETTER[data].astype(np.float32), offsets[:-1], offsets[1:]) > 0
         for i in np.flatnonzero(~here & ~found[row] & (np.diff(offsets) > 0)).tolist():
@@ -101,11 +101,11 @@ class Model:
             return [UNKNOWN] * n, np.ones(n)
         bits = self.table.shape[1].bit_length() - 1
         total, count = np.zeros((n, len(self.table))), np.zeros(n)
-        for row, part in slices(texts):
+        for row, part, sign in seamed(texts, max(ORDERS)):
             for buckets, first, end in features(part, bits):
                 for column, weights in enumerate(self.table):
-                    total[row, column] += row_sums(weights[buckets], first, end)
-                count[row] += end - first
+                    total[row, column] += sign * row_sums(weights[buckets], first, end)
+                count[row] += sign * (end - first)
         margin = total / np.maximum(count, 1)[:, None] + self.bias
         sure = 1 / (1 + np.exp(-np.clip(4 * margin, -30, 30)))
         k = len(self.families)

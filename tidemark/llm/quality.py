@@ -5,7 +5,7 @@ a learned vector; a document is the average of its vectors, and a softmax layer
 class. Vectors and layer are trained together by stochastic gradient descent in numpy on a
 bounded sample of labelled documents. For scoring, vectors and layer fold into a number
 for each bucket, so a task reads a small table, however many documents it has. Texts over
-``SLICE_BYTES`` are read in slices that end at white space; n-grams do not cross them.
+``SLICE_BYTES`` are read in slices whose sums are those of the whole text.
 
 Defined cases: a null or empty text has no feature and gets the score of the layer's bias;
 documents without label, or with a null doc_id, are scored and not learned from; of several
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE_BYTE, gram_buckets, gram_rows, labelled_texts, map_batches, passes, row_sums, runs, slices, span_hashes, text_bytes, without_copies
+from tidemark.llm.common import SPACE_BYTE, gram_buckets, gram_rows, labelled_texts, map_batches, passes, row_sums, runs, seamed, span_hashes, text_bytes, without_copies
 
 BITS, ORDERS, DIM, EPOCHS, RATE = 18, (3, 5), 8, 12, 8.0
 
@@ -61,10 +61,10 @@ class Model:
     def scores(self, texts: pa.Array) -> np.ndarray:
         bits = len(self.table).bit_length() - 1
         total, count = np.zeros(len(texts)), np.zeros(len(texts))
-        for row, part in slices(texts):
+        for row, part, sign in seamed(texts, max(ORDERS)):
             for buckets, first, end in features(part, bits):
-                total[row] += row_sums(self.table[buckets], first, end)
-                count[row] += end - first
+                total[row] += sign * row_sums(self.table[buckets], first, end)
+                count[row] += sign * (end - first)
         return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + self.bias, -30, 30)))
 
 

@@ -11,7 +11,7 @@ Slots follow from the counts of what is before a piece. A piece of many rows, su
 short text, is numbered in parts, dealt by row, which change nothing about its shard.
 
 Law ``bytes``: shards hold nearly equal sizes. Equal texts share a shard unless their group
-has more than half a shard's bytes.
+has more than an equal share of all bytes, which no shard can hold alone.
 
 Defined cases: a null text has size 1, no checksum, and is a group of its own like an empty
 text; equal rows count each; a null doc_id is placed like any other; an empty table gives
@@ -37,9 +37,9 @@ SHARDS = 16
 #: Ranges, and sampled keys for each range.
 RANGES, SAMPLES = 4096, 8
 
-#: A range is overfull above this share of a shard; copies of one text are parted only above
-#: the second share. Parts have about so many rows.
-OVERFULL, PARTED, UNIT_ROWS = 0.05, 0.5, 1_000_000
+#: A range is overfull above this share of a shard; copies of one text are parted only where
+#: they exceed the second, a whole shard. Parts have about so many rows.
+OVERFULL, PARTED, UNIT_ROWS = 0.05, 1.0, 1_000_000
 
 LAW = "bytes"
 
@@ -154,8 +154,9 @@ def splitting(rows: DataFrame, shards: int) -> tuple[list[int], dict[int, Split]
     sums = with_range(rows, bounds).groupBy("range").agg(F.sum("size").alias("size"), F.count("*").alias("rows"), (F.min("key") == F.max("key")).alias("alone"))
     splits = {}
     for r in sums.where(F.col("size") > most).collect():
-        whole = r["alone"] and r["size"] <= parted  # copies that stay together
-        splits[r["range"]] = Split(1 if whole else min(math.ceil(r["size"] / most), r["rows"]), r["alone"])
+        # Copies of one text stay together, or in as few shards as can hold them.
+        copies = 1 if r["size"] <= parted else math.ceil(1.05 * r["size"] / parted)
+        splits[r["range"]] = Split(min(copies if r["alone"] else math.ceil(r["size"] / most), r["rows"]), r["alone"])
     return bounds, splits
 
 

@@ -11,8 +11,8 @@ windows compress alike with either. A logistic layer over the counts of windows
 least 1, 2, ... bytes is calibrated on documents that had no part in the dictionaries they
 were compressed with, and set so that 0.7 is the threshold that served best there.
 
-Texts over ``SLICE_BYTES`` are windowed slice by slice (slices end at white space) and the
-counts of the slices are added.
+Texts over ``SLICE_BYTES`` are windowed slice by slice; slices end where a window does, so
+the windows are those of the whole text.
 
 Defined cases: a null or empty text has no window and gets the score of no savings;
 documents without label, or with a null doc_id, are scored and not learned from; of several
@@ -25,15 +25,17 @@ equal scores; an empty table gives an empty result; other columns are kept, exce
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard as zs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER_BYTE, SPACE_BYTE, labelled_texts, map_batches, passes, slices, text_bytes, without_copies
+from tidemark.llm.common import LOWER_BYTE, SLICE_BYTES, SPACE_BYTE, labelled_texts, map_batches, passes, text_bytes, without_copies
 
 #: Bytes of a window that is scored and of one that is learned from; compression level.
 WINDOW, LEARNED, LEVEL = 128, 64, 9
@@ -57,9 +59,38 @@ THRESHOLD = 0.7
 _LOW, _HIGH = -1, 12
 
 
-def windows(texts: pa.Array, size: int = WINDOW) -> tuple[bytes, np.ndarray, np.ndarray]:
+def slices(texts: pa.Array, size: int | None = None, window: int = WINDOW) -> Iterator[tuple[np.ndarray, pa.Array, int, bool]]:
+    """(row of every part, parts, phase, whether it ends its text): all rows up to ``size``
+    bytes at once, longer ones in slices. Slices part where a window begins: at the first
+    white space from a multiple of ``window`` on, the text having a space before it."""
+    size = SLICE_BYTES if size is None else size
+    texts = pc.fill_null(texts, "")
+    long = pc.binary_length(texts).to_numpy(zero_copy_only=False) > size
+    if not long.all():
+        short = np.flatnonzero(~long)
+        yield short, texts if not long.any() else texts.take(pa.array(short)), 0, True
+    for row in np.flatnonzero(long).tolist():
+        data, _ = text_bytes(texts.slice(row, 1))
+        a = 0
+        while a < len(data):
+            b, at = len(data) + 1, (a + max(size, window)) // window * window - 1
+            while a <= at < len(data):
+                space = np.flatnonzero(SPACE_BYTE[data[at : at + size]])
+                if len(space):
+                    b = at + int(space[0]) + 1
+                    break
+                at += size
+            if len(data) - b < 2 * window:  # a short rest belongs to the window before it
+                b = len(data) + 1
+            part = np.ascontiguousarray(data[a : b - 1])
+            yield np.array([row]), pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, len(part)], dtype=np.int64)), pa.py_buffer(part)), a % window, b > len(data)
+            a = b
+
+
+def windows(texts: pa.Array, size: int = WINDOW, phase: int = 0, final: bool = True) -> tuple[bytes, np.ndarray, np.ndarray]:
     """(bytes, spans, row): lower-cased texts with a space before and behind each, and the
-    windows (place, length) of about ``size`` bytes that begin and end with a space."""
+    windows (place, length) of about ``size`` bytes that begin and end with a space. A slice
+    of a text begins ``phase`` bytes behind a multiple of ``size`` and may not be ``final``."""
     data, offsets = text_bytes(texts)
     n, rows = len(data), len(texts)
     joined = np.full(n + rows + 1, 0x20, dtype=np.uint8)
@@ -69,14 +100,14 @@ def windows(texts: pa.Array, size: int = WINDOW) -> tuple[bytes, np.ndarray, np.
     joined[np.arange(n) + row_of + 1] = plain
     first = offsets + np.arange(rows + 1)
     spaces = np.flatnonzero(joined == 0x20)
-    count = -(-(np.diff(first) - 1) // size)
+    count = -(-(np.diff(first) - 1 + phase) // size)
     row = np.repeat(np.arange(rows), count)
     within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    start = spaces[np.searchsorted(spaces, first[row] + within * size)] if len(row) else np.zeros(0, dtype=np.int64)
+    start = spaces[np.searchsorted(spaces, first[row] + np.maximum(0, within * size - phase))] if len(row) else np.zeros(0, dtype=np.int64)
     keep = start < first[row + 1]
     keep[1:] &= (start[1:] != start[:-1]) | (row[1:] != row[:-1])
     start, row = start[keep], row[keep]
-    if len(start):  # a short rest belongs to the window before it
+    if len(start) and final:  # a short rest belongs to the window before it
         short = np.append(row[1:] != row[:-1], True) & (first[row + 1] - start < size // 2)
         short[0] = False
         short[1:] &= row[1:] == row[:-1]
@@ -116,10 +147,10 @@ class Pair:
             found.append(zs.ZstdCompressor(dict_data=held, compression_params=how))
         return found
 
-    def savings(self, texts: pa.Array, compressors: list[zs.ZstdCompressor]) -> np.ndarray:
+    def savings(self, texts: pa.Array, compressors: list[zs.ZstdCompressor], phase: int = 0, final: bool = True) -> np.ndarray:
         """For every text, how many windows the toxic dictionary saves so many bytes of."""
         kinds = _HIGH - _LOW + 1
-        body, spans, row = windows(texts)
+        body, spans, row = windows(texts, WINDOW, phase, final)
         saved = np.clip(saved_bytes(compressors, body, spans), _LOW, _HIGH) - _LOW
         return np.bincount(row * kinds + saved, minlength=len(texts) * kinds).reshape(len(texts), kinds).astype(float)
 
@@ -190,8 +221,8 @@ class Model:
 
     def scores(self, texts: pa.Array, compressors: list[zs.ZstdCompressor]) -> np.ndarray:
         counts = np.zeros((len(texts), _HIGH - _LOW + 1))
-        for row, part in slices(texts):
-            np.add.at(counts, row, self.pair.savings(part, compressors))
+        for row, part, phase, final in slices(texts):
+            np.add.at(counts, row, self.pair.savings(part, compressors, phase, final))
         x = _layer_input(counts) - self.centre
         return 1 / (1 + np.exp(-np.clip(x @ self.weight + self.bias, -30, 30)))
 
