@@ -139,7 +139,8 @@ def brute_removed(rows, window):
 @pytest.mark.parametrize(("window", "hot", "most", "size", "shard"), [(20, 2000, 10**6, 1 << 20, 1 << 18), (20, 3, 0, 100, 300), (5, 2, 10**6, 60, 100), (3, 2000, 0, 1 << 20, 1 << 18)])
 def test_substring_dedup(docs, rows, monkeypatch, window, hot, most, size, shard):
     """Hot anchors, joins instead of broadcasts, slices and small shards change nothing."""
-    monkeypatch.setattr(substrings, "BROADCAST_ROWS", most)
+    for name in ("BROADCAST_ANCHORS", "BROADCAST_TEXTS", "BROADCAST_SPANS"):
+        monkeypatch.setattr(substrings, name, most)
     monkeypatch.setattr(substrings, "SHARD_WORDS", shard)
     pieces, passes = substrings._pieces, substrings.passes
     monkeypatch.setattr(substrings, "_pieces", lambda texts, window, hashed=True: pieces(texts, window, size, hashed=hashed))

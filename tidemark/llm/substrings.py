@@ -6,13 +6,14 @@ anchors, wherever they stand, and consecutive windows share one for a while. A d
 falls into segments, each the windows of one anchor, of at most ``2 * window - ANCHOR`` words.
 Only anchors with several places can hold a repeat; a first pass counts them, a second one
 sends the segments of those to their shards. Equal segments are folded to the first place
-before they are shuffled, so that copies and very frequent passages travel once a task; an
-anchor with more than ``HOT`` places is cut into single windows, so that no key gathers many
-different segments. Every shard, of a bounded number of words, builds an FM-index (Burrows-
-Wheeler transform in a wavelet tree) of its different segments, streams them through backward
-search, and from the matching statistics reports the windows of full length that stand
-earlier too: the least place among the rows of the match. Of equal segments all but the first
-are repeats whole. Spans go back to the documents by a join, and the words outside stay.
+before they are shuffled, so that copies and very frequent passages travel once a task.
+Every shard, of a bounded number of words, builds an FM-index (Burrows-Wheeler transform in a
+wavelet tree) of its different segments, streams them through backward search, and from the
+matching statistics reports the windows of full length that stand earlier too: the least
+place among the rows of the match. An anchor with more than ``HOT`` different segments does
+not fit a shard; those are cut into single windows, folded by hash of their words. Of equal
+segments all but the first are repeats whole. Spans go back to the documents by a join, and
+the words outside stay.
 
 Defined cases: documents are told apart by doc_id, and of two places that with the smaller
 (doc_id, start) is earlier; a null doc_id comes before any other; rows of equal doc_id are one
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,22 +43,22 @@ WINDOW = 20
 #: Words of an anchor.
 ANCHOR = 6
 
-#: Places of an anchor above which its windows go to shards of their own.
-HOT = 2000
+#: Different segments of an anchor above which they are compared by single windows.
+HOT = 4096
 
 #: Words of a shard, about.
 SHARD_WORDS = 1 << 18
 
-#: Rows of at most some 40 bytes that may be broadcast.
-BROADCAST_ROWS = 500_000
+#: What may be broadcast: anchors (8 bytes each), texts that repeat (some 30), spans (16).
+BROADCAST_ANCHORS, BROADCAST_TEXTS, BROADCAST_SPANS = 2_000_000, 500_000, 2_000_000
 
 _KEY = ["doc_id", "__a", "__b"]
 
 _SPAN = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _sized(df: DataFrame, size: int, most: int) -> DataFrame:
+    return F.broadcast(df) if size <= most else df
 
 
 class _Words:
@@ -161,22 +162,15 @@ def _segments(docs: DataFrame, window: int, *, words: bool = True) -> DataFrame:
 
 def _candidates(docs: DataFrame, window: int) -> DataFrame:
     """The segments of anchors with several places, with their words."""
-    repeated = written(_anchor_counts(docs, window))
-    found = repeated.count()
-    if found <= BROADCAST_ROWS:
+    repeated = written(_anchor_counts(docs, window).select("h"))
+    if repeated.count() <= BROADCAST_ANCHORS:
         return _segments(docs, window).join(F.broadcast(repeated), "h")
     # Places first and their words then, so that no other words are shuffled.
-    places = _segments(docs, window, words=False).join(repeated, "h").groupBy(*_KEY).agg(F.collect_list("at").alias("__at"))
-    own = docs.withColumnsRenamed({c: f"_{c}" for c in _KEY})
-    same = [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in _KEY]
-    return _segments(own.join(places, same).select(*_KEY, "text", "__at"), window).join(repeated, "h")
-
-
-def _single_windows(segments: DataFrame, window: int) -> DataFrame:
-    """The windows of segments one by one, each by a hash of its words instead of an anchor."""
-    cut = segments.withColumns({"word": F.split("words", " "), "i": F.explode(F.sequence(F.lit(0), F.col("n") - 1))})
-    words = F.array_join(F.slice("word", F.col("i") + 1, window), " ")
-    return cut.select(*_KEY, F.xxhash64(words).alias("h"), (F.col("at") + F.col("i")).alias("at"), F.lit(1).alias("n"), words.alias("words"))
+    key = ["doc_id", "__a"]
+    places = _segments(docs, window, words=False).join(repeated, "h").groupBy(*key).agg(F.collect_list("at").alias("__at"))  # of one text
+    own = docs.withColumnsRenamed({c: f"_{c}" for c in key})
+    same = [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in key]
+    return _segments(own.join(places, same).select(*_KEY, "text", "__at"), window)
 
 
 def repeated_windows(shard: pa.Table, window: int) -> list[np.ndarray]:
@@ -225,35 +219,59 @@ def _spans(places: np.ndarray) -> list[dict]:
     return [{"a": int(a), "b": int(b) + 1} for a, b in zip(places[np.append(0, edge)], places[np.append(edge - 1, len(places) - 1)])]
 
 
-def _verdicts(segments: DataFrame, window: int) -> DataFrame:
-    """For every different segment (h, k) that has something to report: its first place
-    (``doc``, ``begin``) and the spans of its windows there that stand earlier too."""
+def _content() -> Column:
+    return F.xxhash64(F.lit(1), F.col("words"))
+
+
+def _contents(segments: DataFrame) -> DataFrame:
+    """The different segments (h, k), their first place (``doc_id``, ``at``) and how many there are."""
     folded = segments.groupBy("h", _content().alias("k")).agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("times"), F.min("words").alias("words"))
-    contents = written(folded.select("h", "k", "f.doc_id", "f.at", "times", "words"))
-    shards = max(1, -(-contents.count() * 3 * window // (2 * SHARD_WORDS)))
-    schema = T.StructType([contents.schema[c] for c in ("h", "k", "doc_id", "at")] + [T.StructField("spans", T.ArrayType(_SPAN))])
+    return folded.select("h", "k", "f.doc_id", "f.at", "times", "words")
+
+
+def _indexed(contents: DataFrame, rows: int, window: int) -> DataFrame:
+    """(h, k, doc_id, at, times, spans): of every segment the windows of its first place that
+    stand earlier too, by the FM-indexes of shards of anchors."""
+    shards = max(1, -(-rows * 3 * window // (2 * SHARD_WORDS)))
+    schema = T.StructType([contents.schema[c] for c in ("h", "k", "doc_id", "at", "times")] + [T.StructField("spans", T.ArrayType(_SPAN))])
     kinds = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
     def shard(table: pa.Table) -> pa.Table:
         spans = [_spans(x) for x in repeated_windows(table, window)]
-        report = np.array([len(x) > 0 for x in spans], dtype=bool) | (table["times"].to_numpy() > 1)
-        return table.select(["h", "k", "doc_id", "at"]).append_column("spans", pa.array(spans, kinds)).filter(pa.array(report))
+        return table.select(["h", "k", "doc_id", "at", "times"]).append_column("spans", pa.array(spans, kinds))
 
-    keyed = contents.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
-    return written(keyed.groupBy("shard").applyInArrow(shard, schema).withColumnsRenamed({"doc_id": "doc", "at": "begin"}))
+    return contents.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards))).groupBy("shard").applyInArrow(shard, schema)
 
 
-def _content():
-    return F.xxhash64(F.lit(1), F.col("words"))
+def _by_window(contents: DataFrame, window: int) -> DataFrame:
+    """The same for segments of an anchor with too many for a shard: by their single windows."""
+    words = F.array_join(F.slice("word", F.col("i") + 1, window), " ")
+    count = F.size("word") - window + 1
+    cut = contents.withColumn("word", F.split("words", " ")).withColumn("i", F.explode(F.sequence(F.lit(0), count - 1)))
+    cut = cut.select("h", "k", "doc_id", "at", "times", "i", F.xxhash64(words).alias("x"), F.xxhash64(F.lit(1), words).alias("y"))
+    place = F.struct(F.col("doc_id"), (F.col("at") + F.col("i")).alias("at"))
+    firsts = cut.groupBy("x", "y").agg(F.min(place).alias("first"))
+    late = cut.join(firsts, ["x", "y"]).withColumn("span", F.when(F.col("first") < place, F.struct(F.col("i").cast("bigint").alias("a"), (F.col("i") + 1).cast("bigint").alias("b"))))
+    return late.groupBy("h", "k", "doc_id", "at", "times").agg(F.collect_list("span").alias("spans"))  # of one segment
+
+
+def _verdicts(segments: DataFrame, window: int, hot: int) -> DataFrame:
+    """For every different segment (h, k) that has something to report: its first place
+    (``doc``, ``begin``) and the spans of its windows there that stand earlier too."""
+    contents = written(_contents(segments))
+    crowded = contents.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("h")  # a row for ``hot`` contents at most
+    crowded = written(crowded)
+    found = _indexed(contents.join(crowded, "h", "left_anti"), contents.count(), window)
+    if not crowded.isEmpty():
+        found = found.unionByName(_by_window(contents.join(crowded, "h", "left_semi"), window))
+    return written(found.where((F.size("spans") > 0) | (F.col("times") > 1)).withColumnsRenamed({"doc_id": "doc", "at": "begin"}))
 
 
 def repeated_spans(docs: DataFrame, *, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """(doc_id, __a, __b, spans): by document the windows [a, b) that stand earlier too.
     ``docs`` have one row of every different text, with keys ``__a`` and ``__b``."""
-    found = written(_candidates(docs, window))
-    columns = [*_KEY, "h", "at", "n", "words"]
-    segments = found.where(F.col("places") <= hot).select(columns).unionByName(_single_windows(found.where(F.col("places") > hot), window))
-    verdicts = _verdicts(segments, window)
+    segments = written(_candidates(docs, window).select(*_KEY, "h", "at", "n", "words"))
+    verdicts = _verdicts(segments, window, hot).drop("times")
     first = F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("at") == F.col("begin"))
     own = F.transform("spans", lambda x: F.struct((x["a"] + F.col("at")).alias("a"), (x["b"] + F.col("at")).alias("b")))
     whole = F.array(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("n")).alias("b")))
@@ -304,13 +322,13 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, hot: int = HOT) -
     several = keyed.where(F.col("text").isNotNull()).groupBy("__a", "__b").agg(F.min(F.struct("doc_id")).alias("__first"), F.count("*").alias("n"))
     several = written(several.where(F.col("n") > 1).drop("n"))
     later = F.col("__first").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("__first.doc_id"))
-    marked = keyed.join(_sized(several, several.count()), ["__a", "__b"], "left").withColumn("__copy", later)
+    marked = keyed.join(_sized(several, several.count(), BROADCAST_TEXTS), ["__a", "__b"], "left").withColumn("__copy", later)
     spans = written(repeated_spans(marked.where(~F.col("__copy") & F.col("text").isNotNull()).select(*_KEY, "text"), window=window, hot=hot))
     entries = spans.agg(F.sum(F.size("spans") + 2)).first()[0] or 0
     there = spans.withColumnsRenamed({c: f"_{c}" for c in _KEY} | {"spans": "__spans"})
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("__a") == F.col("___a")) & (F.col("__b") == F.col("___b"))
     names = [*docs.columns, "__copy", "__spans"]
-    joined = marked.join(_sized(there, entries), same, "left").select(*[F.col(f"`{c}`") for c in names])
+    joined = marked.join(_sized(there, entries, BROADCAST_SPANS), same, "left").select(*[F.col(f"`{c}`") for c in names])
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def cut(batches):
