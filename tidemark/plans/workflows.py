@@ -176,10 +176,7 @@ def run_benchmark(spark: SparkSession, data: str, output: str, *, models: list[s
     intervals = _rows(R.bootstrap_intervals(per, samples=bootstrap_samples, seed=seed, how=draws))
     if "logistic" not in learned:
         learned["logistic"] = M.fit_logistic(train, E.NAMES)
-    ablations = []
-    for name, names in ABLATIONS.items():
-        fitted = learned["logistic"] if name == "full" else M.fit_logistic(train, names)
-        ablations.append({"ablation": name, "feature_count": len(names)} | _rows(R.ranking_metrics(fitted.score(valid)))[0])
+    ablations = _rows(R.ablations(M.fit_logistics(train, ABLATIONS), valid))
     chosen = learned["logistic"].score(valid)
     if "device_type" in split.valid.columns:
         raw = split.valid.select("impression_id", "candidate_position", "device_type")

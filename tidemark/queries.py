@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.stats import round_columns
 from tidemark.operators import analytics, candidates as C, causal as K, experiments as X, features as E, models as M, ranking as R
+from tidemark.plans.workflows import ABLATIONS
 from tidemark.session import stored
 from tidemark.sources import driver_tables as D
 
@@ -814,11 +815,45 @@ def semantic_features(spark: SparkSession, folder: str) -> DataFrame:
     return builder.transform(valid).select("impression_id", "article_id", *E.GROUPS["semantic"])
 
 
+_TERMS = """, cut_off AS (SELECT max(impression_time) AS last FROM train),
+visible AS (SELECT article_id FROM articles, cut_off WHERE published_time <= last),
+texts AS (SELECT article_id, lower(coalesce(nullif(trim(coalesce(title, '') || ' ' || coalesce(subtitle, '')), ''), 'missing text')) AS text FROM articles),
+words AS (SELECT article_id, regexp_extract_all(strip_accents(text), '\\b\\w\\w+\\b') AS w FROM texts),
+pieces AS (SELECT article_id, unnest(regexp_extract_all(text, '\\S+')) AS w FROM texts),
+terms AS (
+  SELECT article_id, 'word' AS block, unnest(w) AS term FROM words
+  UNION ALL SELECT article_id, 'word', w[i] || ' ' || w[i + 1] FROM (SELECT article_id, w, unnest(range(1, len(w))) AS i FROM words)
+  UNION ALL SELECT article_id, 'char', substr(p, i, n) FROM (SELECT article_id, p, n, unnest(range(1, length(p) - n + 2)) AS i FROM (SELECT article_id, ' ' || w || ' ' AS p, unnest([3, 4, 5]) AS n FROM pieces) WHERE length(p) >= n)
+), counts AS (SELECT article_id, block, term, count(*) AS n FROM terms GROUP BY ALL),
+totals AS (SELECT block, term, sum(n) AS n, count(*) AS df FROM counts JOIN visible USING (article_id) GROUP BY ALL),
+kept AS (
+  SELECT block, term, ln((1.0::DOUBLE + (SELECT count(*) FROM visible)) / (1.0::DOUBLE + df)) + 1 AS idf
+  FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY n DESC, term) AS r FROM totals) WHERE r <= 12000
+), weighed AS (SELECT article_id, block, term, (1 + ln(counts.n::DOUBLE)) * idf AS w FROM counts JOIN kept USING (block, term))
+SELECT article_id, block, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY article_id, block)), 6) AS weight FROM weighed"""
+
+
+@query(SPLIT + _TERMS)
+def tfidf_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """The weights of word and character terms, by the vocabulary of the visible articles."""
+    train, _ = C.temporal_split(logged(spark, folder), valid_fraction=0.2)
+    articles = D.articles(spark, folder)
+    last = train.agg(F.max("impression_time")).first()[0]
+    return E.tfidf_table(articles, articles.where(F.col("published_time") <= F.lit(last).cast("timestamp_ntz")))
+
+
+@query()
+def logistic_ablations(spark: SparkSession, folder: str) -> DataFrame:
+    """Five logistic models on sets of features, fitted in the same passes."""
+    builder, train, valid = fitted_features(spark, folder)
+    return R.ablations(M.fit_logistics(stored(builder.transform(train)), ABLATIONS), stored(builder.transform(valid)))
+
+
 @query()
 def logistic_ranking(spark: SparkSession, folder: str) -> DataFrame:
     """A trained model; tests hold it against published quality."""
     builder, train, valid = fitted_features(spark, folder)
-    model = M.fit_logistic(builder.transform(train), E.NAMES)
+    model = M.fit_logistic(stored(builder.transform(train)), E.NAMES)
     return R.ranking_metrics(model.score(builder.transform(valid)))
 
 
