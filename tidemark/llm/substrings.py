@@ -276,7 +276,25 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, hot: int = HOT) ->
     own = F.transform("spans", lambda x: F.struct((x["a"] + F.col("at")).alias("a"), (x["b"] + F.col("at")).alias("b")))
     whole = F.array(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("n")).alias("b")))
     joined = segments.select(*_KEY, "h", _content().alias("k"), "at", "n").join(verdicts, ["h", "k"]).withColumn("s", F.when(first, own).otherwise(whole))
-    return joined.where(F.size("s") > 0).groupBy(*_KEY).agg(F.flatten(F.collect_list("s")).alias("spans"))  # of one text
+    listed = joined.where(F.size("s") > 0).groupBy(*_KEY).agg(F.flatten(F.collect_list("s")).alias("spans"))  # of one text
+    return listed.mapInArrow(_merged, listed.schema)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of spans with those that touch as one."""
+    for batch in batches:
+        lists = batch.column("spans")
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        spans = lists.flatten()
+        a, b = spans.field("a").to_numpy(), spans.field("b").to_numpy()
+        order = np.lexsort((a, row))
+        row, a, b = row[order], a[order], b[order]
+        fresh = np.ones(len(a), dtype=bool)  # spans of a text do not overlap: windows are in one segment
+        fresh[1:] = (row[1:] != row[:-1]) | (a[1:] > b[:-1])
+        first = np.flatnonzero(fresh)
+        merged = pa.StructArray.from_arrays([pa.array(a[first]), pa.array(b[np.append(first[1:], len(a)) - 1])], names=["a", "b"])
+        bounds = pa.array(np.searchsorted(row[first], np.arange(len(lists) + 1)).astype(np.int32))
+        yield batch.set_column(batch.schema.get_field_index("spans"), "spans", pa.ListArray.from_arrays(bounds, merged))
 
 
 def _covered(piece: _Words, place: np.ndarray, owner: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
