@@ -206,7 +206,9 @@ def test_published_experiment(spark, tmp_path):
     path = synthetic.write_experiment(spark, str(tmp_path / "units.parquet"))
     with pytest.raises(ValueError, match="already exists"):
         synthetic.write_experiment(spark, path)
-    decision = workflows.run_experiment(spark, path, str(tmp_path / "out"), json.dumps(EXPERIMENT))
+    with pytest.raises(ValueError, match="licensed-ebnerd"):
+        workflows.run_experiment(spark, path, str(tmp_path / "none"), json.dumps(EXPERIMENT), tiers=[reports.EvidenceTier.LICENSED_EBNERD])
+    decision = workflows.run_experiment(spark, path, str(tmp_path / "out"), json.dumps(EXPERIMENT), tiers=[reports.EvidenceTier.LICENSED_EBNERD, reports.EvidenceTier.SYNTHETIC_RCT])
     assert decision.status is X.Decision.LAUNCH
     assert decision.primary.effect == pytest.approx(0.0205157631, abs=1e-9) and decision.primary.theta == pytest.approx(0.9567299496, abs=1e-9)
     lines = (tmp_path / "out" / "effects.csv").read_text().splitlines()

@@ -11,6 +11,7 @@ import hashlib
 import json
 import platform
 import time
+from collections.abc import Collection
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -198,14 +199,16 @@ def run_benchmark(spark: SparkSession, data: str, output: str, *, models: list[s
 # Experiments and rollouts -------------------------------------------------------------
 
 
-def _metadata(spark: SparkSession, path: str, tier: reports.EvidenceTier) -> dict:
+def _metadata(spark: SparkSession, path: str, tiers: Collection[reports.EvidenceTier]) -> tuple[dict, reports.EvidenceTier]:
+    """What the file beside the data says of it, and its tier, which must be one of ``tiers``."""
     try:
         facts = json.loads(files.read_text(spark, sidecar(path)))
     except (OSError, ValueError) as bad:
         raise ContractError(f"metadata cannot be read: {bad}") from None
-    if facts.get("evidence_tier") != tier.value:
-        raise ContractError(f"metadata evidence_tier must be {tier.value}")
-    return facts
+    allowed = {t.value: t for t in tiers}
+    if facts.get("evidence_tier") not in allowed:
+        raise ContractError(f"metadata evidence_tier must be {' or '.join(allowed)}")
+    return facts, allowed[facts["evidence_tier"]]
 
 
 def text_sha256(text: str) -> str:
@@ -218,10 +221,10 @@ def _agree(facts: dict, **found) -> None:
             raise ContractError(f"metadata {name} does not match the data")
 
 
-def run_experiment(spark: SparkSession, path: str, output: str, config_text: str) -> X.DecisionResult:
-    """Analyses a randomized experiment and publishes effects, report and decision."""
-    tier = reports.EvidenceTier.SYNTHETIC_RCT
-    facts, config = _metadata(spark, path, tier), X.ExperimentConfig.from_json(config_text)
+def run_experiment(spark: SparkSession, path: str, output: str, config_text: str, *, tiers: Collection[reports.EvidenceTier] = (reports.EvidenceTier.SYNTHETIC_RCT,)) -> X.DecisionResult:
+    """Analyses a randomized experiment and publishes effects, report and decision. Data whose
+    evidence is of none of the ``tiers`` is refused."""
+    (facts, tier), config = _metadata(spark, path, tiers), X.ExperimentConfig.from_json(config_text)
     analysis = X.analyze_experiment(spark.read.parquet(path), config)
     counts = analysis.srm.observed_counts
     _agree(facts, units=sum(counts.values()), allocation=counts)
@@ -239,13 +242,15 @@ def run_experiment(spark: SparkSession, path: str, output: str, config_text: str
     return decision
 
 
-def run_causal_impact(spark: SparkSession, path: str, output: str, config_text: str) -> K.CausalDecision:
-    """Estimates a market rollout and publishes estimates, diagnostics, report and decision."""
-    tier = reports.EvidenceTier.SYNTHETIC_QUASI_EXPERIMENT
+def run_causal_impact(
+    spark: SparkSession, path: str, output: str, config_text: str, *, tiers: Collection[reports.EvidenceTier] = (reports.EvidenceTier.SYNTHETIC_QUASI_EXPERIMENT,)
+) -> K.CausalDecision:
+    """Estimates a market rollout and publishes estimates, diagnostics, report and decision.
+    Data whose evidence is of none of the ``tiers`` is refused."""
     config = K.CausalConfig.from_json(config_text)
     analysis = K.analyze_panel(spark.read.parquet(path), config)
     integrity = analysis.diagnostics["integrity"]
-    facts, sha = _metadata(spark, path, tier), files.file_sha256(spark, path)
+    (facts, tier), sha = _metadata(spark, path, tiers), files.file_sha256(spark, path)
     _agree(facts, panel_sha256=sha, **{k: integrity[k] for k in ("rows", "markets", "treated_markets", "pre_weeks", "post_weeks")})
     decision = K.evaluate_causal_decision(analysis, config)
     provenance = {"panel": sha, "metadata": files.file_sha256(spark, sidecar(path))}
