@@ -97,10 +97,13 @@ def data_quality(candidates: DataFrame) -> DataFrame:
         "invalid_label_rows": F.col("label").isNull() | ~F.col("label").isin(0, 1),
         "missing_article_metadata": F.col("published_time").isNull(),
         "future_article_rows": F.col("published_time") > F.col("impression_time"),
-        **{f"null_{c}_rate": F.col(c).isNull() for c in rates},
+        **{f"null_{c}_rate": F.col(c).isNull() for c in rates[3:]},
     }
+    keys = [f"null_{c}_rate" for c in rates[:3]]  # those of the groups' own columns follow from their counts
     ends = {"low": (F.min, "candidate_count"), "high": (F.max, "candidate_count"), "from": (F.min, "impression_time"), "to": (F.max, "impression_time")}
     own = candidates.groupBy("impression_id", "article_id", "user_id").agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in flags.items()], *[f(c).alias(k) for k, (f, c) in ends.items()])
+    own = own.withColumns({f"null_{c}_rate": F.when(F.col(c).isNull(), F.col("n")).otherwise(0) for c in rates[:3]})
+    flags |= dict.fromkeys(keys)
     merged = [F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in flags], *[f(k).alias(k) for k, (f, _) in ends.items()]]
     # Pairs of an impression and an article, null a value of its own, are those that come first
     # in order; an impression's row counts whatever users it has.

@@ -190,18 +190,22 @@ def audit(behaviors: DataFrame, articles: DataFrame, history: DataFrame) -> dict
     }
 
 
-def analytics_candidates(candidates: DataFrame, articles: DataFrame, history: DataFrame) -> DataFrame:
-    """Candidates with article columns, ``article_age_days`` (signed), ``history_length`` (the
-    longest list of the user, 0 without one) and ``device_type`` (``unknown`` if missing).
-    Spark broadcasts the smaller sides where their size allows it. An article that is listed
-    twice is an error of the job."""
+def with_articles(candidates: DataFrame, articles: DataFrame) -> DataFrame:
+    """Candidates with article columns, ``article_age_days`` (signed) and ``device_type``
+    (``unknown`` if missing). An article that is listed twice is an error of the job."""
     facts = F.struct("published_time", "category", "premium")
     catalogue = articles.groupBy("article_id").agg(F.count("*").alias("n"), F.first(facts).alias("article"))
     kind = catalogue.schema["article"].dataType
     once = F.when(F.col("n") == 1, F.col("article")).otherwise(F.raise_error(F.concat(F.lit("articles lists twice: "), F.col("article_id").cast("string"))).cast(kind))
     catalogue = catalogue.select("article_id", once.alias("article")).select("article_id", "article.*")
-    lengths = history.groupBy("user_id").agg(F.max(F.size("article_id_fixed")).alias("history_length"))
-    joined = candidates.join(catalogue, "article_id", "left").join(lengths, "user_id", "left")
     age = (F.unix_micros(F.col("impression_time").cast("timestamp")) - F.unix_micros(F.col("published_time").cast("timestamp"))) / 86_400_000_000
     device = F.col("device_type") if "device_type" in candidates.columns else F.lit("unknown")
-    return joined.withColumns({"history_length": F.coalesce("history_length", F.lit(0)), "article_age_days": age, "device_type": device})
+    return candidates.join(catalogue, "article_id", "left").withColumns({"article_age_days": age, "device_type": device})
+
+
+def analytics_candidates(candidates: DataFrame, articles: DataFrame, history: DataFrame) -> DataFrame:
+    """``with_articles`` and ``history_length`` (the longest list of the user, 0 without one).
+    Spark broadcasts the smaller sides where their size allows it."""
+    lengths = history.groupBy("user_id").agg(F.max(F.size("article_id_fixed")).alias("history_length"))
+    joined = with_articles(candidates, articles).join(lengths, "user_id", "left")
+    return joined.withColumn("history_length", F.coalesce("history_length", F.lit(0)))

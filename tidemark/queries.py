@@ -41,8 +41,11 @@ def market_panel(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def analytics_rows(spark: SparkSession, folder: str) -> DataFrame:
-    rows = logged(spark, folder)
-    return C.analytics_candidates(rows, D.articles(spark, folder), D.history(spark, folder, rows))
+    return C.analytics_candidates(D.candidates(spark, folder), D.articles(spark, folder), D.history(spark, folder))
+
+
+def article_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return C.with_articles(D.candidates(spark, folder), D.articles(spark, folder))
 
 
 ROWS = (
@@ -65,7 +68,7 @@ rows AS (
 FROM rows"""
 )
 def kpi_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return analytics.kpi_summary(analytics_rows(spark, folder))
+    return analytics.kpi_summary(D.candidates(spark, folder))
 
 
 @query(
@@ -77,7 +80,7 @@ UNION ALL SELECT 'candidates', n, round(n::DOUBLE / nullif(i, 0), 6) FROM counts
 UNION ALL SELECT 'clicks', c, round(c::DOUBLE / nullif(n, 0), 6) FROM counts"""
 )
 def exposure_funnel(spark: SparkSession, folder: str) -> DataFrame:
-    return analytics.exposure_funnel(analytics_rows(spark, folder))
+    return analytics.exposure_funnel(D.candidates(spark, folder))
 
 
 @query(
@@ -119,7 +122,7 @@ UNION ALL SELECT 'min_impression_time', NULL, CAST(min(impression_time) AS VARCH
 UNION ALL SELECT 'max_impression_time', NULL, CAST(max(impression_time) AS VARCHAR) FROM rows"""
 )
 def data_quality(spark: SparkSession, folder: str) -> DataFrame:
-    return analytics.data_quality(analytics_rows(spark, folder))
+    return analytics.data_quality(article_rows(spark, folder))
 
 
 @query(
@@ -321,7 +324,7 @@ def segment_ranking(spark: SparkSession, folder: str) -> DataFrame:
 SELECT diagnostic, bucket, count(*) AS candidates, sum(label)::BIGINT AS clicks, round(sum(label)::DOUBLE / count(*), 6) AS click_rate FROM cells GROUP BY 1, 2"""
 )
 def candidate_diagnostics(spark: SparkSession, folder: str) -> DataFrame:
-    rows = analytics_rows(spark, folder)
+    rows = article_rows(spark, folder)
     return R.candidate_diagnostics(rows.withColumn("publication_age_hours", F.greatest(F.col("article_age_days") * 24, F.lit(0.0))))
 
 
