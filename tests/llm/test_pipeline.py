@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_stages_and_queries():
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 14))
     assert set(SQL) < set(QUERIES)
 
 
