@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import pandas as pd
+
 
 def normal_quantile(p: float) -> float:
     return NormalDist().inv_cdf(p)
@@ -16,18 +18,15 @@ def two_sided_p(z: float) -> float:
 
 
 def two_sided_tail(z):
-    """``two_sided_p`` of a column: below 2 (of the error function's argument) the series of
-    the error function, whose terms are all positive, beyond it the continued fraction."""
+    """``two_sided_p`` of a column. Spark has no error function; a batch of rows goes to
+    Python's."""
     from pyspark.sql import functions as F
 
-    x = F.abs(z) / math.sqrt(2)
-    bell = F.exp(-x * x)
-    steps = F.sequence(F.lit(1), F.lit(80))
-    start = F.struct(x.alias("term"), x.alias("sum"))
-    add = lambda s, k: F.struct((s["term"] * 2 * x * x / (2 * k + 1)).alias("term"), (s["sum"] + s["term"] * 2 * x * x / (2 * k + 1)).alias("sum"))
-    near = 1 - 2 / math.sqrt(math.pi) * bell * F.aggregate(steps, start, add, lambda s: s["sum"])
-    fraction = F.aggregate(F.reverse(steps), x, lambda f, k: x + k / 2.0 / f)
-    return F.when(x < 2, near).otherwise(bell / math.sqrt(math.pi) / fraction)
+    @F.pandas_udf("double")
+    def tail(x: pd.Series) -> pd.Series:
+        return pd.Series([math.erfc(v) for v in (x.abs() / math.sqrt(2)).to_numpy()])
+
+    return F.when(F.isnan(z), F.lit(math.nan)).when(z.isNotNull(), tail(z))
 
 
 def chi_square_tail(x: float, df: int) -> float:
