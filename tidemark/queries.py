@@ -394,6 +394,11 @@ def tail_sql(z: str) -> str:
     return f"CASE WHEN {z} = 0 THEN 1.0::DOUBLE WHEN abs({z}) > 9 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - {series}) END"
 
 
+def experiment_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The units as a written table: the analysis reads them five times and more."""
+    return stored(D.experiment(spark, folder))
+
+
 def arms(spark: SparkSession, folder: str) -> dict:
     return {r["arm"]: r for r in X.arm_moments(D.experiment(spark, folder), RCT).collect()}
 
@@ -473,7 +478,7 @@ SELECT 'segment' AS segment, value, round(p, 6) AS p_value, round(a, 6) AS multi
 def segment_inference(spark: SparkSession, folder: str) -> DataFrame:
     """P-values, Holm's adjustment and Bonferroni intervals of the confirmatory cells."""
     keys = ("segment", "value", "p_value", "multiplicity_alpha", "holm_adjusted_p_value", "significant", "ci_lower", "ci_upper", "interval_method")
-    return X.segment_effects(D.experiment(spark, folder), RCT).select(*keys)
+    return X.segment_effects(experiment_rows(spark, folder), RCT).select(*keys)
 
 
 #: An experiment over order lines: odd orders are treated, every part and line parity a cell.
@@ -547,7 +552,7 @@ SELECT CASE WHEN statistic > {_Z}::DOUBLE ** 2 THEN 'invalid_experiment' WHEN ef
   WHEN passed = 2 AND effect - {_Z}::DOUBLE * se > 0.01 THEN 'launch' ELSE 'continue_experiment' END AS status FROM states, gap, ratio"""
 )
 def launch_decision(spark: SparkSession, folder: str) -> DataFrame:
-    found = X.make_decision(X.analyze_experiment(D.experiment(spark, folder), RCT), RCT)
+    found = X.make_decision(X.analyze_experiment(experiment_rows(spark, folder), RCT), RCT)
     return spark.createDataFrame([(found.status.value,)], "status string")
 
 
