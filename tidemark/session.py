@@ -56,3 +56,14 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows, about, that a task should hold at once where it groups, sorts or joins them.
+TASK_ROWS = 250_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df``, of some ``rows`` rows, by ``keys`` over so many tasks that each has some
+    ``TASK_ROWS`` of them, whatever the size of the input; groupings and windows by these keys
+    and more need no other exchange."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *keys)

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.session import dealt
+
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
@@ -32,8 +34,10 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
 
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
     """One row per impression and article: the parts of an order in the order of their first
-    line. (order, part) is made unique first; the window then sees one order at a time."""
-    lines = read(spark, folder, "lineitem").groupBy("l_orderkey", "l_partkey").agg(
+    line. (order, part) is made unique first; the window then sees one order at a time. Lines
+    are dealt by order once, which serves the grouping, the window and the join."""
+    table = read(spark, folder, "lineitem")
+    lines = dealt(table.select("l_orderkey", "l_partkey", "l_returnflag", "l_linenumber"), table.count(), "l_orderkey").groupBy("l_orderkey", "l_partkey").agg(
         F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("label"), F.min("l_linenumber").alias("line")
     )
     slate = W.partitionBy("l_orderkey")
@@ -74,6 +78,7 @@ def history(spark: SparkSession, folder: str, rows: DataFrame | None = None) ->
     """What every customer had ordered before 1999, oldest first. ``rows`` are the candidates,
     if they are at hand."""
     earlier = (candidates(spark, folder) if rows is None else rows).where(F.col("impression_time") < F.expr("TIMESTAMP_NTZ '1999-01-01 00:00:00'"))
+    earlier = dealt(earlier.select("user_id", "impression_time", "impression_id", "candidate_position", "article_id"), read(spark, folder, "lineitem").count(), "user_id")
     rows = earlier.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("impression_time", "impression_id", "candidate_position", "article_id"))).alias("seen"))
     return rows.select("user_id", F.col("seen.article_id").alias("article_id_fixed"), F.col("seen.impression_time").alias("impression_time_fixed"))
 
