@@ -12,11 +12,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.session import dealt, stored
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return a.cast("double") / F.nullif(b, F.lit(0)).cast("double")
 
 
+def _by_impression(candidates: DataFrame) -> DataFrame:
+    """The rows, stored for their number, dealt by impression over tasks of bounded rows."""
+    rows = stored(candidates)
+    return dealt(rows, rows.count(), "impression_id")
+
+
 def exposure_totals(candidates: DataFrame) -> DataFrame:
     """One row: distinct ``impressions`` and ``users``, ``candidates``, ``clicks`` and
     ``mean_candidates``. An impression with several users counts once, for its first."""
@@ -74,7 +82,7 @@ def segment_kpis(candidates: DataFrame, *, min_cell_count: int | None = None) ->
         "freshness": freshness_bucket(F.col("article_age_days")),
     }
     both = F.explode(F.array(F.lit(True), F.lit(False)))
-    rows = candidates.select("impression_id", "label", F.col("candidate_position").alias("position"), *[v.alias(n) for n, v in values.items()]).withColumn("placed", both)
+    rows = _by_impression(candidates.select("impression_id", "label", F.col("candidate_position").alias("position"), *[v.alias(n) for n, v in values.items()])).withColumn("placed", both)
     apart = rows.select("impression_id", "label", "placed", F.when(F.col("placed"), F.col("position")).alias("position"), *[F.when(~F.col("placed"), F.col(n)).alias(n) for n in values])
     sums = apart.groupBy("impression_id", "placed", "position", *values).agg(F.count("*").alias("n"), F.sum("label").alias("c"))
     cell = lambda name, value: F.struct(F.lit(name).alias("segment"), value.alias("value"))
@@ -101,7 +109,8 @@ def data_quality(candidates: DataFrame) -> DataFrame:
     }
     keys = [f"null_{c}_rate" for c in rates[:3]]  # those of the groups' own columns follow from their counts
     ends = {"low": (F.min, "candidate_count"), "high": (F.max, "candidate_count"), "from": (F.min, "impression_time"), "to": (F.max, "impression_time")}
-    own = candidates.groupBy("impression_id", "article_id", "user_id").agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in flags.items()], *[f(c).alias(k) for k, (f, c) in ends.items()])
+    dealt_rows = _by_impression(candidates.select("article_id", "user_id", "candidate_count", *[c for c in rates if c not in ("user_id", "article_id")]))
+    own = dealt_rows.groupBy("impression_id", "article_id", "user_id").agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in flags.items()], *[f(c).alias(k) for k, (f, c) in ends.items()])
     own = own.withColumns({f"null_{c}_rate": F.when(F.col(c).isNull(), F.col("n")).otherwise(0) for c in rates[:3]})
     flags |= dict.fromkeys(keys)
     merged = [F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in flags], *[f(k).alias(k) for k, (f, _) in ends.items()]]

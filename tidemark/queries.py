@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.stats import round_columns
 from tidemark.operators import analytics, candidates as C, causal as K, experiments as X, features as E, models as M, ranking as R
 from tidemark.plans.workflows import ABLATIONS
-from tidemark.session import stored
+from tidemark.session import dealt, stored
 from tidemark.sources import driver_tables as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,11 +41,13 @@ def market_panel(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def analytics_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return C.analytics_candidates(D.candidates(spark, folder), D.articles(spark, folder), D.history(spark, folder))
+    rows = logged(spark, folder)
+    return C.analytics_candidates(dealt(rows, rows.count(), "article_id"), D.articles(spark, folder), D.history(spark, folder, rows))
 
 
 def article_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return C.with_articles(D.candidates(spark, folder), D.articles(spark, folder))
+    rows = logged(spark, folder)
+    return C.with_articles(dealt(rows, rows.count(), "article_id"), D.articles(spark, folder))
 
 
 ROWS = (
